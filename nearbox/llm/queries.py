@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from nearbox.llm import mixing
+from nearbox.llm import chat, decontamination, mixing
 from nearbox.llm.common import table
 
 QUERIES = {
+    "op4_chat_collapse": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op6_mix_sources": lambda spark, d: mixing.mix_result(table(spark, d, "documents")),
+    "op10_decontaminate": lambda spark, d: decontamination.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLES = {
+    "op4_chat_collapse": chat.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
+    "op10_decontaminate": decontamination.ORACLE,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nearbox.llm import chat, decontamination, mixing
+from nearbox.llm import chat, decontamination, media, mixing, secrets
 from nearbox.llm.common import table
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
+    "op3_transport_stream": lambda spark, d: media.media_features(table(spark, d, "documents")),
     "op4_chat_collapse": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op6_mix_sources": lambda spark, d: mixing.mix_result(table(spark, d, "documents")),
     "op10_decontaminate": lambda spark, d: decontamination.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),

@@ -65,12 +65,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         lo = F.greatest(F.lit(-flank), -F.col("i"), -F.col("j"))
         hi = F.least(length + flank, F.size("h") - F.col("i"), F.size("b") - F.col("j"))
         hits = hits.withColumn("lo", lo).withColumn("compared", hi - lo)
+        # Not a filter before the aggregate: it would go into the join's condition, and the join out of generated code.
         same = F.expr("aggregate(sequence(0, compared - 1), 0, (n, k) -> n + if(h[i + lo + k] = b[j + lo + k], 1, 0))")
-        best = F.max(F.struct("matched", "compared"))
+        score = F.when(F.col("matched") >= F.col("compared") * F.lit(min_match), F.shiftleft(F.col("matched").cast("long"), 32) + F.col("compared"))
         return (
-            hits.withColumn("matched", same).filter(F.col("matched") >= F.col("compared") * F.lit(min_match))
-            .groupBy("doc_id", "item_id").agg(best.alias("o"))
-            .select("doc_id", "item_id", F.col("o.matched").cast("long").alias("matched"), F.col("o.compared").cast("long").alias("compared"))
+            hits.withColumn("matched", same).groupBy("doc_id", "item_id").agg(F.max(score).alias("best")).filter("best is not null")
+            .select("doc_id", "item_id", F.shiftright("best", 32).alias("matched"), F.col("best").bitwiseAND(0xFFFFFFFF).alias("compared"))
         )
 
     known = docs.select("doc_id", hashed(F.col("text")).alias("h"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearbox.llm import chat, decontamination, media, mixing, secrets
+from nearbox.llm import chat, decontamination, language, media, mixing, secrets, simhash, toxicity
 from nearbox.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_transport_stream": lambda spark, d: media.media_features(table(spark, d, "documents")),
     "op4_chat_collapse": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op6_mix_sources": lambda spark, d: mixing.mix_result(table(spark, d, "documents")),
+    "op7_simhash": lambda spark, d: simhash.simhash_result(table(spark, d, "documents")),
+    "op8_language": lambda spark, d: language.language_result(table(spark, d, "documents")),
+    "op9_toxicity": lambda spark, d: toxicity.toxicity_result(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_decontaminate": lambda spark, d: decontamination.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearbox.llm import chat, decontamination, language, media, mixing, secrets, simhash, toxicity
+from nearbox.llm import chat, decontamination, language, media, mixing, perplexity, secrets, simhash, toxicity
 from nearbox.llm.common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
+    "op2_perplexity": lambda spark, d: perplexity.perplexity_result(table(spark, d, "documents")),
     "op3_transport_stream": lambda spark, d: media.media_features(table(spark, d, "documents")),
     "op4_chat_collapse": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op6_mix_sources": lambda spark, d: mixing.mix_result(table(spark, d, "documents")),

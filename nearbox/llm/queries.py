@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearbox.llm import chat, decontamination, language, media, mixing, perplexity, secrets, simhash, toxicity
+from nearbox.llm import chat, decontamination, language, media, mixing, perplexity, repeats, secrets, simhash, toxicity
 from nearbox.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_perplexity": lambda spark, d: perplexity.perplexity_result(table(spark, d, "documents")),
     "op3_transport_stream": lambda spark, d: media.media_features(table(spark, d, "documents")),
     "op4_chat_collapse": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
+    "op5_repeats": lambda spark, d: repeats.repeats_result(table(spark, d, "documents")),
     "op6_mix_sources": lambda spark, d: mixing.mix_result(table(spark, d, "documents")),
     "op7_simhash": lambda spark, d: simhash.simhash_result(table(spark, d, "documents")),
     "op8_language": lambda spark, d: language.language_result(table(spark, d, "documents")),

@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages start there, also after an executor is lost."""
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

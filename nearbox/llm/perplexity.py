@@ -40,7 +40,9 @@ ROOM = 3_000_000
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words; then for each word in the texts its number in them, and its text."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # Built anew: Arrow's string functions misread the offsets of a slice that is cast.
+    texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     d = split.flatten().dictionary_encode()
     names = d.dictionary.cast(pa.large_binary()).to_pylist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))

@@ -142,7 +142,7 @@ class Scorer:
         """The words near some landmark: whose they are, and their kernel values by landmark."""
         if not self.landmarks or not len(texts):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
-        lowered = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+        lowered = pc.utf8_lower(pa.array([t or "" for t in texts.to_pylist()], pa.large_string()))
         split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary

@@ -267,7 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_landma
     rate = F.when(F.col("toxic") == 1, F.lit(4.0 * per_class / totals[1])).otherwise(F.lit(4.0 * per_class / totals[0]))
     few = own.withColumn("h", h).filter(F.col("h") <= rate)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "id"))).filter(F.col("n") <= per_class)
-    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id").collect()
+    # At most 2 * per_class rows are broadcast, so no text but theirs is moved.
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id").collect()
     return fit([r["text"] or "" for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), (totals[0], totals[1]), most_landmarks)
 
 

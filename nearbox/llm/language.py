@@ -87,6 +87,8 @@ class Parser:
         for n, (c, _) in enumerate(sorted(letters, key=lambda x: (-x[1], x[0]))[: WIDTH - 3]):
             self.codes[ord(c)] = n + 3
         self.langs = [lang for lang, _ in model.samples]
+        if not self.langs:
+            return
         tables, self.roots, sizes, at = [], [], [], 0
         for _, texts in model.samples:
             sample = np.concatenate([x for t in texts for x in (self.encoded(t.lower()), np.array([SEPARATOR], np.uint8))])

@@ -372,14 +372,12 @@ def est_jaccard(spark, d):
 JACCARD_SQL = "len(list_intersect(x.tokens, y.tokens)) / (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens)))::DOUBLE"
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, {views.words_sql('text')} AS tokens FROM benchmark UNION ALL SELECT -row_number() OVER (ORDER BY conv_id, turn), {views.words_sql('text')} FROM conversations)
-SELECT x.id AS a, y.id AS b, round({JACCARD_SQL}, 9) AS jaccard FROM t x JOIN t y ON x.id < y.id WHERE {JACCARD_SQL} >= 0.3""")
+@query(f"""WITH t AS (SELECT item_id AS id, {views.words_sql('text')} AS tokens FROM benchmark UNION ALL SELECT -(conv_id * 1000 + turn) - 1, {views.words_sql('text')} FROM conversations)
+SELECT x.id AS a, y.id AS b, round({JACCARD_SQL}, 9) AS jaccard FROM t x JOIN t y ON x.id < y.id WHERE {JACCARD_SQL} >= 0.1""")
 def exact_jaccard_pairs(spark, d):
-    from pyspark.sql import Window
-
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.words(F.col("text")).alias("tokens"))
-    c = table(spark, d, "conversations").select((-F.row_number().over(Window.orderBy("conv_id", "turn"))).cast("long").alias("id"), text.words(F.col("text")).alias("tokens"))
-    return similarity.jaccard_pairs(b.unionByName(c), "id", 0.3).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    c = table(spark, d, "conversations").select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("id"), text.words(F.col("text")).alias("tokens"))
+    return similarity.jaccard_pairs(b.unionByName(c), "id", 0.1).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("""SELECT t AS threshold, CAST(b AS INTEGER) AS bands, CAST(128 // b AS INTEGER) AS rows FROM (SELECT unnest([0.5::DOUBLE, 0.8, 0.9]) AS t), (SELECT unnest(range(1, 129)) AS b) WHERE 128 % b = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(found)
 
 
+def shingles_of(text: str | None, k: int = 3) -> list[str]:
+    """shingles() of one text in Python, for Arrow batches."""
+    if not text:
+        return []
+    s = re.sub(r"[^\w\s]", "", text.lower())
+    return [s] if len(s) < k else sorted({s[i : i + k] for i in range(len(s) - k + 1)})
+
+
 def words(text: Column) -> Column:
     """Distinct words."""
     return F.sort_array(F.array_distinct(F.array_remove(F.split(normalised(F.coalesce(text, F.lit(""))), r"\s+"), "")))

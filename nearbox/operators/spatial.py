@@ -132,12 +132,19 @@ def range_join_grid(points: DataFrame, boxes: DataFrame, dims: Sequence[str], ce
     return points.withColumn("__cell", cell(F.col(d))).join(spread, "__cell").filter(on).drop("__cell")
 
 
-def knn_join(points: DataFrame, queries: DataFrame, dims: Sequence[str], key: Sequence[str], k: int) -> DataFrame:
-    """For each query (query_id, q_<dim>) its k nearest points with distance and rank. queries is a stated set, broadcast
-    in blocks of its rows: every point meets every query, and a partial top-k is taken before the shuffle."""
-    paired = points.crossJoin(F.broadcast(queries)).withColumn("distance", vectors.euclidean(dims, [F.col(f"q_{d}") for d in dims]))
+def knn_join(points: DataFrame, queries: DataFrame, dims: Sequence[str], key: Sequence[str], k: int, sample: int = 4096) -> DataFrame:
+    """For each query (query_id, q_<dim>) its k nearest points with distance and rank; queries is a stated, bounded set.
+
+    The k-th distance among a few points bounds each query's own k-th distance. With that bound beside the broadcast
+    query, almost all pairs end in the scan's own stage, and only what is left is ranked. The result is exact.
+    """
+    distance = vectors.euclidean(dims, [F.col(f"q_{d}") for d in dims])
     order = Window.partitionBy("query_id").orderBy("distance", *key)
-    return paired.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    few = points.limit(max(sample, k)).crossJoin(F.broadcast(queries)).select("query_id", *key, distance.alias("distance"))
+    bound = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") == k).select("query_id", F.col("distance").alias("__bound"))
+    bounded = queries.join(F.broadcast(bound), "query_id", "left")
+    near = points.join(F.broadcast(bounded), F.col("__bound").isNull() | (distance <= F.col("__bound"))).withColumn("distance", distance).drop("__bound")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def envelopes(df: DataFrame, by: Sequence[str], dims: Sequence[str]) -> DataFrame:

@@ -335,7 +335,7 @@ SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, '|')) AS dig
 
 @query(SHINGLED)
 def tokens_shingles(spark, d):
-    s = table(spark, d, "documents").select("doc_id", text.shingles(F.col("text")).alias("tokens"))
+    s = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
     return s.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
 
 

@@ -16,6 +16,7 @@ def test_tokens(spark):
     got = {r["id"]: r for r in df.collect()}
     assert [got[i]["s"] for i in range(1, 6)] == [[], [], ["ab"], [""], ["ana", "ban", "nan"]]
     assert got[4]["w"] == [] and got[6]["items"] == ["['a'"] and got[8]["items"] == ["A"]
+    assert [text.shingles_of(t) for _, t in rows[:5]] == [got[i]["s"] for i in range(1, 6)]
     assert got[7]["w"] == ["bros", "dc", "entertainment", "warner"]
 
 

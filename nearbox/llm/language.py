@@ -180,8 +180,9 @@ def train(docs: DataFrame, docs_per_lang: int = 40, sample_chars: int = 24_000)
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = own.groupBy("lang").count()
-    # Four times as many as wanted by chance, then exactly the first of them: no task sorts a whole language.
-    few = own.withColumn("h", h).join(counts, "lang").filter(F.col("h") * F.col("count") <= 4.0 * docs_per_lang)
+    # Four times as many as wanted by chance, then exactly the first of them: no task sorts a whole language. The counts
+    # have a row for each language, less than the samples gathered below, so they are broadcast and no text is shuffled.
+    few = own.withColumn("h", h).join(F.broadcast(counts), "lang").filter(F.col("h") * F.col("count") <= 4.0 * docs_per_lang)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= docs_per_lang)
     rows = few.select("lang", "n", F.substring("text", 1, sample_chars).alias("text")).collect()
     samples: dict[str, list[str]] = {}

@@ -1,13 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Texts become lower-case runs of letters and digits. A mask such as 110110110101 picks the tokens at its ones from a
-window of its length; the hash of the picked tokens is a seed. Token positions at a mask's zeros are ignored, so a seed
-survives substitutions there. Training seeds are joined to benchmark seeds; each hit fixes an alignment of the document
-with the item, around which the tokens are compared one by one. An overlap counts if, in the hit's window and `flank`
-tokens to either side (as far as both texts go), at least `min_match` of the tokens agree.
+Texts become lower-case runs of letters and digits. A mask such as 1101111 picks the tokens at its ones from a window of
+its length; the hash of the picked tokens is a seed. Token positions at a mask's zeros are ignored, so a seed survives
+substitutions there. Training seeds are joined to benchmark seeds; each hit fixes an alignment of the document with the
+item, around which the tokens are compared one by one. An overlap is an aligned run of `window` to `window + 2 * flank`
+tokens of which at least `min_match` agree; the one of most agreeing tokens is reported, of these the longest.
 
-Items shorter than the masks are looked for whole, by a mask of ones of their own length. An item without tokens is
-never found.
+The masks are chosen so that every such run, wherever its substitutions lie, holds a hit (`missed` enumerates those that
+don't), and with 12 to 20 tokens every longer run at 80 % holds a shorter one at 80 %: from 24 tokens it can be cut into
+parts of 12 to 20, or of 21 to 23 with at most four substitutions, of which 20 in a row hold at most four. So
+nothing at the accepted agreement is missed, at any length.
+
+Items shorter than `window` are looked for whole and exactly, by a mask of ones of their own length. An item without
+tokens is never found.
 
 The benchmark's seeds are broadcast if there are at most `broadcast_limit` of them, which is counted first; a larger
 benchmark is joined by shuffling the seeds, and the documents are read again for the comparison.
@@ -18,10 +23,20 @@ reported as one; empty tables give no overlaps; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("110110110101", "101101101101", "111100001111")
+MASKS = ("1101111", "111010011", "11100100011")
+
+
+def missed(masks: tuple[str, ...], length: int, substitutions: int) -> int:
+    """The placements of substitutions in a run of tokens that leave no mask a hit inside it."""
+    ones = [(len(m), sum(1 << k for k, c in enumerate(m) if c == "1")) for m in masks]
+    placed = (((1 << length) - 1) & ~sum(1 << k for k in gone) for gone in itertools.combinations(range(length), substitutions))
+    return sum(not any(same >> at & m == m for n, m in ones for at in range(length - n + 1)) for same in placed)
 
 
 def tokens(text: Column) -> Column:
@@ -46,30 +61,36 @@ def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return found.filter(F.col("seed").isNotNull())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, flank: int = 4, min_match: float = 0.8, broadcast_limit: int = 500_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, flank: int = 4, min_match: float = 0.8, broadcast_limit: int = 500_000, window: int = 12) -> DataFrame:
     """doc_id, item_id, matched, compared: per document and item the overlap of most agreeing tokens."""
-    span = len(masks[0])
+    longest, narrowest = window + 2 * flank, min(map(len, masks))
+    if 2 * longest - narrowest > 62 or max(map(len, masks)) > window:
+        raise ValueError("runs around a hit must fit 62 tokens, and masks the window")
     items = benchmark.select("item_id", hashed(F.col("text")).alias("b")).withColumn("m", F.size("b")).filter("m > 0")
-    # At most span - 1 numbers: the lengths of items that no mask fits.
-    short = sorted(r[0] for r in items.filter(F.col("m") < span).select("m").distinct().collect())
+    # At most window - 1 numbers: the lengths of items that are looked for whole.
+    short = sorted(r[0] for r in items.filter(F.col("m") < window).select("m").distinct().collect())
     every = (*masks, *("1" * n for n in short))
-    fits = F.when(F.col("m") >= span, F.col("mask") < len(masks)).otherwise(F.element_at(F.array(*[F.lit(len(m)) for m in every]), F.col("mask") + 1) == F.col("m"))
+    fits = F.when(F.col("m") >= window, F.col("mask") < len(masks)).otherwise(F.element_at(F.array(*[F.lit(len(m)) for m in every]), F.col("mask") + 1) == F.col("m"))
     probe = (
         seeds(items.withColumn("h", F.col("b")), every).filter(fits)
         .select("seed", "mask", "item_id", F.col("i").alias("j"), "b", "m")
     )
-    length = F.element_at(F.array(*[F.lit(len(m)) for m in every]), F.col("mask") + 1)
+    # The runs around a hit: where they begin, their length, how many tokens must agree.
+    runs = ", ".join(f"named_struct('a', {a}, 'n', {n}, 'least', {math.ceil(min_match * n - 1e-9)})" for n in range(window, longest + 1) for a in range(narrowest - n, 1))
 
     def compared(hits: DataFrame) -> DataFrame:
         """hits: doc_id, h, item_id, b, i, j, mask."""
-        lo = F.greatest(F.lit(-flank), -F.col("i"), -F.col("j"))
-        hi = F.least(length + flank, F.size("h") - F.col("i"), F.size("b") - F.col("j"))
-        hits = hits.withColumn("lo", lo).withColumn("compared", hi - lo)
+        whole = F.col("mask") >= len(masks)
+        lo = F.when(whole, 0).otherwise(F.greatest(F.lit(narrowest - longest), -F.col("i"), -F.col("j")))
+        hi = F.when(whole, F.size("b")).otherwise(F.least(F.lit(longest), F.size("h") - F.col("i"), F.size("b") - F.col("j")))
+        hits = hits.withColumn("whole", whole).withColumn("lo", lo).withColumn("hi", hi)
         # Not a filter before the aggregate: it would go into the join's condition, and the join out of generated code.
-        same = F.expr("aggregate(sequence(0, compared - 1), 0, (n, k) -> n + if(h[i + lo + k] = b[j + lo + k], 1, 0))")
-        score = F.when(F.col("matched") >= F.col("compared") * F.lit(min_match), F.shiftleft(F.col("matched").cast("long"), 32) + F.col("compared"))
+        same = F.expr("aggregate(sequence(0, hi - lo - 1), 0L, (n, k) -> n | if(h[i + lo + k] = b[j + lo + k], shiftleft(1L, k), 0L))")
+        agree = "bit_count(shiftright(same, r.a - lo) & (shiftleft(1L, r.n) - 1))"
+        best = f"array_max(transform(array({runs}), r -> if(r.a >= lo and r.a + r.n <= hi and {agree} >= r.least, shiftleft(cast({agree} as bigint), 32) + r.n, null)))"
+        score = F.expr(f"if(whole, if(bit_count(same) = hi, shiftleft(cast(hi as bigint), 32) + hi, null), {best})")
         return (
-            hits.withColumn("matched", same).groupBy("doc_id", "item_id").agg(F.max(score).alias("best")).filter("best is not null")
+            hits.withColumn("same", same).groupBy("doc_id", "item_id").agg(F.max(score).alias("best")).filter("best is not null")
             .select("doc_id", "item_id", F.shiftright("best", 32).alias("matched"), F.col("best").bitwiseAND(0xFFFFFFFF).alias("compared"))
         )
 

@@ -331,6 +331,51 @@ def test_decontamination(spark):
     assert decontamination.overlaps(empty(spark), bench).count() == 0 and decontamination.overlaps(docs(spark), bench.filter("false")).count() == 0
 
 
+def test_masks_hit_every_alignment():
+    # The least length for each number of substitutions at 80 %; a longer run with as many holds one of these.
+    assert [decontamination.missed(decontamination.MASKS, n, k) for n, k in ((12, 2), (15, 3), (20, 4))] == [0, 0, 0]
+    assert decontamination.missed(("110110110101", "101101101101", "111100001111"), 15, 3) > 0
+
+
+def test_decontamination_equals_all_alignments(spark):
+    rng = random.Random(8)
+    items = [(k, [f"w{rng.randint(0, 400)}" for _ in range(n)]) for k, n in enumerate((15, 20, 60, 33, 7, 12))]
+    rows = []
+
+    def put(words, places):
+        rows.append((len(rows), ["x"] * rng.randint(0, 3) + [f"new{k}" if k in places else w for k, w in enumerate(words)] + ["y"] * rng.randint(0, 3)))
+
+    for places in itertools.combinations(range(15), 3):
+        put(items[0][1], places)
+    for start in range(5):
+        put(items[2][1], range(start, 60, 5))
+        put(items[3][1][3 + start : 15 + start], ())
+    for n in range(9, 16):
+        put(items[2][1][20 : 20 + n], ())
+    for _ in range(150):
+        words = rng.choice(items)[1]
+        put(words, rng.sample(range(len(words)), rng.randint(0, len(words) // 4)))
+    expected = {}
+    for i, h in rows:
+        for item, b in items:
+            for d in range(-len(b) + 1, len(h)):
+                same = [h[j + d] == w for j, w in enumerate(b) if 0 <= j + d < len(h)]
+                if len(b) < 12:
+                    found = [(len(b), len(b))] if len(same) == len(b) and all(same) else []
+                else:
+                    every = [(sum(same[s:e]), e - s) for s in range(len(same)) for e in range(s + 12, len(same) + 1)]
+                    found = [(x, n) for x, n in every if 5 * x >= 4 * n and n <= 20]
+                    assert bool(found) == any(5 * x >= 4 * n for x, n in every)
+                for f in found:
+                    expected[i, item] = max(f, expected.get((i, item), f))
+    df = spark.createDataFrame([(i, " ".join(h)) for i, h in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
+    for limit in (500_000, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontamination.overlaps(df, bench, broadcast_limit=limit).collect()}
+        assert got == expected
+    assert {(i, 0) for i in range(455)} <= set(expected)
+
+
 # The pipeline
 
 

@@ -2,7 +2,8 @@
 
 The kernel of two words counts their common subsequences of three characters, each weighted down by the gaps in it
 (Lodhi et al. 2002), and is normalised by the words' own kernels; so `idxiot` and `id-iot` stay near `idiot`. Landmarks
-are the words whose presence differs most between toxic and other documents of the labelled sample, copies counted once.
+are all words that are significantly more frequent in toxic than in other documents of the labelled sample, copies
+counted once, by an exact test corrected for the number of words; their number is not bounded.
 A word is described by its kernel values with the landmarks, mapped by the inverse root of the landmarks' own kernel
 matrix (Nyström), and judged by a linear machine with squared hinge loss; a text is as toxic as its worst word. Labels
 are of texts, so training is multiple-instance: in turn, each text picks its worst word and the machine is fitted to
@@ -174,19 +175,27 @@ def scorer(landmarks: tuple[str, ...]) -> Scorer:
     return SCORERS[landmarks]
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> tuple[str, ...]:
-    """Words whose document frequency differs most between the classes, in standard errors: at least 4 and half the best."""
-    counts = (Counter(), Counter())
-    for text, y in zip(texts, toxic, strict=True):
-        counts[int(y)].update({w for w in re.findall(r"[^\W_]+", text.lower()) if ORDER <= len(w.encode()) <= LONGEST})
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    z = {}
-    for w, c1 in counts[1].items():
-        if c1 > 1:
-            p = (c1 + counts[0][w]) / (n1 + n0)
-            z[w] = (c1 / n1 - counts[0][w] / n0) / max(1e-9, np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-    best = max(z.values(), default=0.0)
-    return tuple(sorted([w for w, v in z.items() if v >= max(4.0, best / 2)], key=lambda w: (-z[w], w))[:most])
+def chance(c1: int, m: int, n1: int, n: int, logs: np.ndarray) -> float:
+    """The log of the chance that c1 or more of m texts are among the n1 toxic of n; logs: of factorials."""
+    x = np.arange(c1, min(m, n1) + 1)
+    terms = logs[m] - logs[x] - logs[m - x] + logs[n - m] - logs[n1 - x] - logs[n - m - n1 + x] - logs[n] + logs[n1] + logs[n - n1]
+    return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
+
+
+def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int | None = None, risk: float = 0.01) -> tuple[str, ...]:
+    """Every word more frequent in toxic texts than chance allows, by the exact (hypergeometric) test at risk over the number of words."""
+    where: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        for w in {w for w in re.findall(r"[^\W_]+", text.lower()) if ORDER <= len(w.encode()) <= LONGEST}:
+            where.setdefault(w, []).append(i)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(texts) + 1)))])
+    level, n1 = np.log(risk / max(1, len(where))), int(toxic.sum())
+    strength = {}
+    for w, own in where.items():
+        c1 = int(toxic[own].sum()) if len(own) > 1 else 0
+        if c1 > 1 and c1 * len(texts) > len(own) * n1 and (v := chance(c1, len(own), n1, len(texts), logs)) <= level:
+            strength[w] = v
+    return tuple(sorted(strength, key=lambda w: (strength[w], w))[:most])
 
 
 def gapped(text: str, landmarks: tuple[str, ...], rng: random.Random) -> str:
@@ -216,7 +225,7 @@ def worst(x: np.ndarray, whose: np.ndarray, n: int, w: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, totals: tuple[int, int], most: int = 32, turns: int = 5, rounds: int = 300) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, totals: tuple[int, int], most: int | None = None, turns: int = 5, rounds: int = 300) -> Model:
     """totals: labelled documents of class 0 and 1, for the calibration."""
     own_texts = distinct(texts, toxic)
     texts, toxic = [texts[i] for i in own_texts], toxic[own_texts]
@@ -254,7 +263,7 @@ def fit(texts: list[str], toxic: np.ndarray, totals: tuple[int, int], most: int
     return Model(landmarks, tuple((root @ w).tolist()), float(b), float(a), float(c), True)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_landmarks: int = 32) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_landmarks: int | None = None) -> Model:
     """Learns from the labelled rows whose crc32 remainder by 3 isn't 1; the sample is per_class documents a class."""
     own = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null").filter(remainder(F.col("id"), 3) != 1)

@@ -313,6 +313,22 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity_result(df, lab.filter("toxic = 0")).collect()} == {0.0} and toxicity.toxicity_result(df.filter("false"), lab).count() == 0
 
 
+def test_toxicity_of_words_of_any_frequency():
+    rng = random.Random(4)
+    insults = {"blorgus": 400, "snivvel": 200, "grumphik": 90, "dwazzok": 40}
+    bag = [w for w, n in insults.items() for _ in range(n)] + [None] * 800
+    texts = [" ".join([*rng.choices(WORDS, k=20), *([w] if w else []), *rng.choices(WORDS, k=20)]) for w in bag]
+    toxic = np.array([w is not None for w in bag])
+    model = toxicity.fit(texts, toxic, (800, int(toxic.sum())))
+    assert set(model.landmarks) == set(insults)
+    decide = lambda texts: model.score(toxicity.scorer(model.landmarks).decide(pa.array(texts), model)) >= toxicity.THRESHOLD
+    assert decide([f"and the {w} here" for w in insults]).all() and not decide(["and the theon here", *texts[-50:]]).any()
+    # More words than any fixed list.
+    names = ["".join(p) for p in itertools.islice(itertools.product("bdfgk", "aeiou", "lmnpr", "ou", "xz"), 0, 500, 10)]
+    found = toxicity.choose_landmarks([f"on {w} ha" for w in names for _ in range(40)] + ["on ha"] * 2000, np.arange(4000) < 2000)
+    assert set(found) == set(names) and len(found) == 50
+
+
 # 10
 
 

@@ -3,7 +3,7 @@
 Three base patterns (assignments to a few well-known names, access key ids, long hex runs) are found in every text. On
 top of them the text is lexed into assignments, whatever the syntax around them (`name = literal`, `name: literal`,
 `"name": "literal"`, `name := literal`, `name => literal`, literals joined by +). Names that only repeat another name
-(`password = KEY`) hand their sensitivity on to the literal that the other name holds, so constants are propagated
+that is assigned in the text (`password = KEY`) hand their sensitivity on to the literal that the other name holds, so constants are propagated
 through any chain of copies. A literal is scored by the words of its name (db_password, clientSecret, auth-token) times
 how random it looks; placeholders, references to variables, paths and prose score 0.
 
@@ -37,6 +37,7 @@ OPERATOR = re.compile(r"(?<![:=!<>+*/-])(?::=|=>|=|:)(?![:=/~])")
 NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"'\]]{0,2}[\x20\t]*$")
 QUOTED = re.compile(r"[\x20\t]*(?:[rRbBuUfF]{0,2}\"((?:[^\"\\\n]|\\.){1,400})\"|[rRbBuUfF]{0,2}'((?:[^'\\\n]|\\.){1,400})')")
 BARE = re.compile(r"[\x20\t]*([^\s,;\"'`(){}\[\]<>]{1,400})")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 JOIN = re.compile(r"[\x20\t]*\+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -87,7 +88,7 @@ def lexed(text: str) -> list[tuple[str, list[tuple[int, int, bool]], list[str]]]
             if m := QUOTED.match(text, at):
                 literals.append((*m.span(1 if m[1] is not None else 2), True))
             elif m := BARE.match(text, at):
-                if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", m[1]):
+                if IDENTIFIER.fullmatch(text, *m.span(1)):
                     copies.append(m[1])
                 literals.append((*m.span(1), False))
             else:
@@ -108,10 +109,13 @@ def method_spans(text: str, least: float = 0.5) -> list[tuple[int, int, int]]:
     holds: dict[str, list[tuple[int, int, bool]]] = {}
     copied: dict[str, set[str]] = {}
     score: dict[str, float] = {}
+    assigned = {name for name, _, _ in assignments}
     for name, literals, copies in assignments:
         score[name] = name_score(name)
-        holds.setdefault(name, []).extend(x for x in literals if x[2] or not copies)
-        copied.setdefault(name, set()).update(copies)
+        # A bare name is a copy only where that name is assigned; elsewhere it is a literal as any other.
+        names = assigned.intersection(copies)
+        holds.setdefault(name, []).extend(x for x in literals if x[2] or text[x[0] : x[1]] not in names)
+        copied.setdefault(name, set()).update(names)
     found = set()
     for name, own in score.items():
         if own <= 0:

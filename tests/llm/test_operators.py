@@ -60,6 +60,15 @@ def test_secret_base_equals_plain_patterns():
         assert secrets.spans_of(t)[0] == plain
 
 
+def test_secret_bare_names_are_literals_unless_assigned():
+    for line, value in (("db_pwd=Tr0ub4dor3xyzABC", "Tr0ub4dor3xyzABC"), ("access_key: AbCd1234EfGh5678", "AbCd1234EfGh5678"), ("jwt=eyJhbGciOiJIUzI1", "eyJhbGciOiJIUzI1")):
+        text = f"x\n{line}\ny"
+        assert secrets.method_spans(text) == [(text.index(value), 3, text.index(value) + len(value))]
+        assert secrets.without(text, "#") == f"x\n{line.replace(value, '#')}\ny"
+    text = 'Key1_of_mine = "A9b8C7d6E5f4G3h2"\ndb_pwd = Key1_of_mine\n'
+    assert [k for _, k, _ in secrets.method_spans(text)] == [4]
+
+
 def test_secret_table(spark):
     got = secrets.scan(docs(spark, ROWS + [(9, "password=abcdefgh1")])).collect()
     assert len(got) == len(ROWS) + 1 and {r["doc_id"]: r["n_assign"] for r in got}[9] == 1

@@ -35,8 +35,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 OPERATOR = re.compile(r"(?<![:=!<>+*/-])(?::=|=>|=|:)(?![:=/~])")
 NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"'\]]{0,2}[\x20\t]*$")
-QUOTED = re.compile(r"[\x20\t]*(?:[rRbBuUfF]{0,2}\"((?:[^\"\\\n]|\\.){1,400})\"|[rRbBuUfF]{0,2}'((?:[^'\\\n]|\\.){1,400})')")
-BARE = re.compile(r"[\x20\t]*([^\s,;\"'`(){}\[\]<>]{1,400})")
+QUOTED = re.compile(r"[\x20\t]*(?:[rRbBuUfF]{0,2}\"((?:[^\"\\\n]|\\.)++)\"|[rRbBuUfF]{0,2}'((?:[^'\\\n]|\\.)++)')")
+BARE = re.compile(r"[\x20\t]*([^\s,;\"'`(){}\[\]<>]+)")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 JOIN = re.compile(r"[\x20\t]*\+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")

@@ -69,6 +69,15 @@ def test_secret_bare_names_are_literals_unless_assigned():
     assert [k for _, k, _ in secrets.method_spans(text)] == [4]
 
 
+def test_secret_literals_of_any_length():
+    for n in (400, 401, 5000):
+        value = "".join(random.Random(n).choices("ABCDEFabcdef0123456789+/", k=n))
+        for text in (f'private_key = "{value}"', f"bearer = '{value}'", f"private_key: {value}"):
+            at = text.index(value)
+            assert secrets.method_spans(text) == [(at, 3, at + n)] and value[-20:] not in secrets.without(f"a\n{text}\nb", "#")
+    assert secrets.method_spans('auth_token = "never closed ' + "a1" * 5000) == []
+
+
 def test_secret_table(spark):
     got = secrets.scan(docs(spark, ROWS + [(9, "password=abcdefgh1")])).collect()
     assert len(got) == len(ROWS) + 1 and {r["doc_id"]: r["n_assign"] for r in got}[9] == 1

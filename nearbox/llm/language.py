@@ -5,8 +5,8 @@ left into phrases, each the longest match from there on in the language's sample
 character at a time. The more a text resembles a language, the fewer phrases it needs: phrases * log2(sample) / length is
 an estimate of the cross entropy, and the language with the least wins.
 
-The automata are dense arrays of transitions over the sample's commonest letters; whatever
-stands between words counts as one gap. Texts are cut into pieces of
+Every letter of the samples has a code of its own. Transitions by the commonest letters are dense arrays, those by rarer
+ones (most of a large alphabet) a sorted list; whatever stands between words counts as one gap. Texts are cut into pieces of
 `PIECE` characters, all of them parsed, and all pieces of a batch step through the automata of all languages together,
 so a step is a few array operations whatever the texts.
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from nearbox.llm.common import remainder
 
 WIDTH, PIECE, BATCH = 64, 1024, 2_000_000
-#: Codes: 0 ends a sample text, 1 is any letter that isn't common, 2 is a run of anything but letters.
+#: Codes: 0 ends a sample text, 1 is any letter that no sample has, 2 is a run of anything but letters; those from WIDTH on
+#: have sparse transitions.
 SEPARATOR, OTHER, GAP = 0, 1, 2
 
 
@@ -43,8 +44,8 @@ class Model:
     samples: tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def suffix_automaton(codes: np.ndarray) -> np.ndarray:
-    """Transitions as an array of states by WIDTH, -1 for none; state 0 is the start."""
+def suffix_automaton(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions as an array of states by WIDTH, -1 for none, and rows (state, code, to) for the other codes; state 0 is the start."""
     link, length, edges, last = [-1], [0], [{}], 0
     for c in codes.tolist():
         cur = len(link)
@@ -69,11 +70,14 @@ def suffix_automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(edges), WIDTH), -1, np.int32)
+    table, rare = np.full((len(edges), WIDTH), -1, np.int32), []
     for state, out in enumerate(edges):
         for c, to in out.items():
-            table[state, c] = to
-    return table
+            if c < WIDTH:
+                table[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Parser:
@@ -82,28 +86,45 @@ class Parser:
         for _, texts in model.samples:
             for t in texts:
                 counts.update(t.lower())
-        self.codes = np.array([OTHER if chr(c).isalpha() else GAP for c in range(0x110000)], np.uint8)
+        self.codes = np.array([OTHER if chr(c).isalpha() else GAP for c in range(0x110000)], np.int32)
         letters = [(c, n) for c, n in counts.items() if c.isalpha()]
-        for n, (c, _) in enumerate(sorted(letters, key=lambda x: (-x[1], x[0]))[: WIDTH - 3]):
+        for n, (c, _) in enumerate(sorted(letters, key=lambda x: (-x[1], x[0]))):
             self.codes[ord(c)] = n + 3
+        self.size = max(WIDTH, len(letters) + 3)
         self.langs = [lang for lang, _ in model.samples]
         if not self.langs:
             return
-        tables, self.roots, sizes, at = [], [], [], 0
+        tables, lists, self.roots, sizes, at = [], [], [], [], 0
         for _, texts in model.samples:
-            sample = np.concatenate([x for t in texts for x in (self.encoded(t.lower()), np.array([SEPARATOR], np.uint8))])
-            table = suffix_automaton(sample)
+            sample = np.concatenate([x for t in texts for x in (self.encoded(t.lower()), np.array([SEPARATOR], np.int32))])
+            table, rare = suffix_automaton(sample)
+            lists.append(rare + np.array([at, 0, at]))
             tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
             self.roots.append(at)
             sizes.append(max(2, len(sample)))
             at += len(table)
         self.table = np.concatenate(tables).ravel()
         self.roots = np.array(self.roots, np.int64)
-        first = self.table.reshape(-1, WIDTH)[self.roots]
+        rare = np.concatenate(lists)
+        keys = rare[:, 0] * self.size + rare[:, 1]
+        order = np.argsort(keys)
+        #: The sparse transitions, closed by a key that no state has.
+        self.keys, self.targets = np.append(keys[order], np.iinfo(np.int64).max), np.append(rare[order, 2], -1).astype(np.int32)
+        first = self.step(np.repeat(self.roots[:, None], self.size, 1), np.arange(self.size))
         #: Where a phrase that begins with a character leads; a character that the sample lacks is a phrase of its own.
         self.first = np.where(first >= 0, first, self.roots[:, None]).astype(np.int32)
         self.log_sizes = np.log2(np.array(sizes, float))
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where codes lead from states (languages by codes), -1 for nowhere."""
+        to = self.table[state * np.int64(WIDTH) + np.minimum(c, WIDTH - 1)]
+        rare = np.flatnonzero(c >= WIDTH) if len(self.keys) > 1 else ()
+        if len(rare):
+            wanted = state[:, rare] * np.int64(self.size) + c[rare]
+            at = np.searchsorted(self.keys, wanted)
+            to[:, rare] = np.where(self.keys[at] == wanted, self.targets[at], -1)
+        return to
+
     def encoded(self, text: str) -> np.ndarray:
         c = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         return c[np.concatenate([[True], (c[1:] != GAP) | (c[:-1] != GAP)])] if len(c) else c
@@ -128,7 +149,7 @@ class Parser:
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
         for t, n in enumerate(active.tolist()):
             c = flat[start[:n] + t]
-            to = self.table[state[:, :n] * np.int64(WIDTH) + c]
+            to = self.step(state[:, :n], c)
             end = to < 0
             count[:, :n] += end
             state[:, :n] = np.where(end, self.first[:, c], to)

@@ -283,6 +283,26 @@ def test_cross_parsing_counts_longest_matches():
         assert abs(int(p.phrases([text])[0, 0]) - count(text, "abcabdabc")) <= 1
 
 
+def test_languages_of_large_alphabets():
+    rng = random.Random(6)
+    # Two languages of the same script and word lengths with different letters, beside one of few, frequent letters.
+    bags = {"la": [PROSE(1, k) for k in range(40)]}
+    for lang, first in (("zh", 0x4E00), ("zi", 0x5E00)):
+        bags[lang] = ["".join(chr(first + rng.randrange(600)) for _ in range(rng.choice([1, 2, 3]))) for _ in range(900)]
+    text = lambda lang, n, seed: " ".join(random.Random(seed).choices(bags[lang], k=n))
+    p = language.Parser(language.Model(tuple((lang, (text(lang, 3000, 1),)) for lang in bags)))
+    for lang in bags:
+        assert p.predict([text(lang, 30, seed) for seed in range(50, 90)])[0] == [lang] * 40
+    for lang, sample in ((k, text(k, 3000, 1)) for k in ("zh", "zi")):
+        own, at, n = text(lang, 60, 3), 0, 0
+        while at < len(own):
+            end = at + 1
+            while end <= len(own) and own[at:end] in sample:
+                end += 1
+            at, n = max(end - 1, at + 1), n + 1
+        assert abs(int(p.phrases([own])[0, p.langs.index(lang)]) - n) <= 1
+
+
 def test_language(spark):
     alphabets = {"aa": "kalomi tenu rasi", "bb": "schrund pfelz gwurt", "cc": "éauxi ntèré ouillo"}
     text = lambda l, n, s: " ".join(random.Random(s).choices(alphabets[l].split(), k=n)) + " " + "".join(random.Random(s).choices(alphabets[l], k=20))

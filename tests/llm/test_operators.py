@@ -327,10 +327,18 @@ def test_subsequence_kernel():
                     total += lam ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
         return total
 
-    words = ["idiot", "idxiot", "toidi", "abc"]
-    for t in words:
-        got = toxicity.kernel(toxicity.matrix(words), toxicity.matrix([t]))
-        assert np.allclose(got, [plain(w, t) for w in words], rtol=1e-4)
+    fragments = ("\nidiot", "toidi", "abca", "réeux")
+    words = ["idiot", "idxiot", "toidi", "abc", "a", "", "réeuxtion", "xidiotidiotabcaabc", "##idi-ot", "abracadabra" * 20]
+    k = toxicity.Kernel(fragments)
+    for slice_ in (toxicity.SLICE, 3):
+        old, toxicity.SLICE = toxicity.SLICE, slice_
+        got = k.values(words)
+        toxicity.SLICE = old
+        for w, row in zip(words, got):
+            marked = "\n" + "".join(c for c in w if c.isalpha())
+            spans = [marked[i : i + toxicity.WIDTH] for i in range(max(1, len(marked) - toxicity.WIDTH + 1))]
+            assert np.allclose(row, [(max(plain(x, f) for x in spans) / plain(f, f)) ** toxicity.POWER for f in fragments], rtol=1e-3, atol=1e-6)
+        assert np.allclose(k.values(words, onto=np.arange(4, dtype=np.float32)), got @ np.arange(4), rtol=1e-4, atol=1e-5)
 
 
 def test_toxicity(spark):
@@ -358,13 +366,35 @@ def test_toxicity_of_words_of_any_frequency():
     texts = [" ".join([*rng.choices(WORDS, k=20), *([w] if w else []), *rng.choices(WORDS, k=20)]) for w in bag]
     toxic = np.array([w is not None for w in bag])
     model = toxicity.fit(texts, toxic, (800, int(toxic.sum())))
-    assert set(model.landmarks) == set(insults)
-    decide = lambda texts: model.score(toxicity.scorer(model.landmarks).decide(pa.array(texts), model)) >= toxicity.THRESHOLD
+    decide = lambda texts: model.score(*toxicity.evidence(pa.array(texts), model)) >= toxicity.THRESHOLD
     assert decide([f"and the {w} here" for w in insults]).all() and not decide(["and the theon here", *texts[-50:]]).any()
     # More words than any fixed list.
     names = ["".join(p) for p in itertools.islice(itertools.product("bdfgk", "aeiou", "lmnpr", "ou", "xz"), 0, 500, 10)]
-    found = toxicity.choose_landmarks([f"on {w} ha" for w in names for _ in range(40)] + ["on ha"] * 2000, np.arange(4000) < 2000)
-    assert set(found) == set(names) and len(found) == 50
+    texts = [f"{PROSE(5, k)} {w} {PROSE(5, 9000 + k)}" for k, w in enumerate(names * 20)] + [PROSE(11, 5000 + k) for k in range(1000)]
+    model = toxicity.fit(texts, np.arange(2000) < 1000, (1000, 1000))
+    assert decide([f"on {w} ha" for w in names]).all() and not decide(texts[-200:]).any()
+
+
+def test_toxicity_held_out():
+    """On real labels: better than the list of discriminating words, all toxic documents in the denominator."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select d.doc_id, d.text, l.toxic from '{folder}/documents.parquet' d join '{folder}/labels.parquet' l using (doc_id) order by 1").fetchall()
+    held, toxic = np.array([fold(i, 3) == 1 for i, _, _ in rows]), np.array([t == 1 for _, _, t in rows])
+    texts = [t or "" for _, t, _ in rows]
+    sample = [*np.flatnonzero(~held & toxic)[:1500], *np.flatnonzero(~held & ~toxic)[:1500]]
+    model = toxicity.fit([texts[i] for i in sample], toxic[sample], (int((~held & ~toxic).sum()), int((~held & toxic).sum())))
+    score = model.score(*toxicity.evidence(pa.array([texts[i] for i in np.flatnonzero(held)]), model))
+    y, found = toxic[held], score >= toxicity.THRESHOLD
+    auc = (score[y][:, None] > score[~y][None]).mean()
+    counts = [collections.Counter(w for i in sample if toxic[i] == c for w in set(texts[i].lower().split())) for c in (True, False)]
+    listed = {w for w, n in counts[0].items() if n >= 10 and counts[1][w] == 0}
+    plain = np.array([bool(listed & set(texts[i].lower().split())) for i in np.flatnonzero(held)])
+    recall, precision = (found & y).sum() / y.sum(), (found & y).sum() / found.sum()
+    assert recall >= 0.8 and precision >= 0.9 and auc >= 0.95, (recall, precision, auc)
+    f1 = lambda p: 2 * (p & y).sum() / (p.sum() + y.sum())
+    assert f1(found) > f1(plain) and recall > (plain & y).sum() / y.sum(), (f1(found), f1(plain))
 
 
 # 10

@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (local tests).
+#: Used only in local mode, where one machine is all there is, and only if the session names no folder.
 LOCAL_SHARED = "file:///tmp/checkpoints/nearbox"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a default of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = LOCAL_SHARED
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,7 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_shared_path(spark, name)
     df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what written() wrote for these tables, once nothing reads them any more; other tables are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("written_to", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager

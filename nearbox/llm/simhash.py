@@ -1,17 +1,21 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A text's fingerprint has 64 bits; a bit is set if more than half of its word shingles' XXH64 values have it set.
-Fingerprints link if they differ in at most two bits. Then at least six of their eight bytes agree, position by position,
-and of the four two-byte units at least two. The inverted index therefore holds each distinct fingerprint under its six
-pairs of units: a link shares one of them at least. For each pair met in a posting list, the positional bytes they share
-are tallied; pairs with fewer than six are dropped and the rest is verified bit by bit. A pair that shares several
-posting lists is taken in the first only.
-
-Posting lists longer than `list_limit` don't make pairs. Their fingerprints are linked exactly by the keys one bit away:
-two fingerprints differ in at most two bits if and only if they share such a key (or are themselves that key), and each
-key links its fingerprints to its least one. So a list of any length costs 65 rows a fingerprint.
-
-Classes are the connected components. Equal texts, and equal fingerprints, count once until the end.
+Fingerprints link if they differ in at most two bits, so in at most two of their eight bytes: at least six bytes agree,
+position by position. The inverted index holds positional bytes. A single byte's list would hold 1/256 of all
+fingerprints, so bytes are listed four at a time: position sets are the 14 quadruples of the eight positions in which
+any three positions occur together once (positions 0 to 7 whose XOR is 0). Then the count of lists that a pair shares
+tells how many positional bytes it shares: eight agree in 14 lists, seven in 7, six in 3, five in 1, four in at most 1.
+Pairs are tallied over the lists; those with fewer than 3, the guaranteed minimum of six shared bytes, are dropped, the
+rest is verified bit by bit.
+
+Lists longer than `list_limit` don't make pairs. Their fingerprints are linked exactly by the keys one bit away: two
+fingerprints differ in at most two bits if and only if they share such a key (or are themselves that key), and each key
+links its fingerprints to its least one. So a list of any length costs 65 rows a fingerprint. A pair that shares a long
+list is found there whatever its tally; a pair that shares none is tallied over all its lists.
+
+Classes are the connected components. Equal texts, and equal fingerprints, count once until the end, where fingerprints
+of very many rows are handed their class by a broadcast of a size that the number of rows bounds (see `by_fingerprint`).
 
 Defined cases: a null text has no words and fingerprint zero, which links like any other; a fingerprint all of whose
 rows have a null doc_id links others but names no class; repeated rows repeat; other columns are ignored by `groups` and
@@ -33,6 +37,9 @@ from nearbox.llm.components import connected_components
 from nearbox.session import written
 
 BYTES, BITS, SEED = 8, 2, 42
+#: The position sets of the index, and the lists that two fingerprints with BITS different bytes share at least.
+QUADS = [q for q in combinations(range(BYTES), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+MINIMUM = min(sum(not set(q) & set(gone) for q in QUADS) for gone in combinations(range(BYTES), BITS))
 SLICE = 1 << 16
 
 
@@ -72,20 +79,25 @@ def byte_of(fp: str, k: int):
     return F.shiftrightunsigned(F.col(fp), 56 - 8 * k).bitwiseAND(0xFF)
 
 
-def links(distinct: DataFrame, list_limit: int = 64) -> DataFrame:
-    """a, b: links among distinct fingerprints (fp) that have the same components as all links."""
-    unit = lambda fp, k: F.shiftrightunsigned(F.col(fp), 48 - 16 * k).bitwiseAND(0xFFFF)
-    pairs = list(combinations(range(4), 2))
-    keys = F.array(*[F.shiftleft(unit("fp", i), 16).bitwiseOR(unit("fp", j)) for i, j in pairs])
+def postings(distinct: DataFrame) -> DataFrame:
+    """k, key, fp, count: the lists (k, key) of two fingerprints and more, count their length."""
+    keys = F.array(*[sum((F.shiftleft(byte_of("fp", p), 8 * n) for n, p in enumerate(q)), F.lit(0).cast("long")) for q in QUADS])
     index = distinct.select("fp", F.posexplode(keys).alias("k", "key"))
     lists = index.groupBy("k", "key").count().filter("count > 1")
-    posted = written(index.join(lists, ["k", "key"]), "simhash-postings")
+    return index.join(lists, ["k", "key"])
+
 
-    short = posted.filter(F.col("count") <= list_limit)
+def tallied(short: DataFrame) -> DataFrame:
+    """a, b, shared: the pairs of fingerprints that meet in lists (k, key, fp), and how many they share."""
     met = short.select("k", "key", F.col("fp").alias("a")).join(short.select("k", "key", F.col("fp").alias("b")), ["k", "key"]).filter("a < b")
-    first = F.coalesce(*[F.when((unit("a", i) == unit("b", i)) & (unit("a", j) == unit("b", j)), F.lit(n)) for n, (i, j) in enumerate(pairs)])
-    tally = sum((byte_of("a", k) == byte_of("b", k)).cast("int") for k in range(BYTES))
-    near = met.filter((tally >= BYTES - BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS) & (first == F.col("k"))).select("a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def links(distinct: DataFrame, list_limit: int = 64) -> DataFrame:
+    """a, b: links among distinct fingerprints (fp) that have the same components as all links."""
+    posted = written(postings(distinct), "simhash-postings")
+    likely = tallied(posted.filter(F.col("count") <= list_limit)).filter(F.col("shared") >= MINIMUM)
+    near = likely.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
 
     crowded = posted.filter(F.col("count") > list_limit).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
@@ -95,16 +107,32 @@ def links(distinct: DataFrame, list_limit: int = 64) -> DataFrame:
     return near.unionByName(starred)
 
 
+def by_fingerprint(rows: DataFrame, classes: DataFrame, total: int, most: int = 100_000) -> DataFrame:
+    """rows (with fp) joined to classes (fp, n, component_id), n the number of rows of fp.
+
+    Fingerprints of over total / most rows, of which there are fewer than `most`, are broadcast, so no task gets all rows
+    of one; the others are joined by shuffling.
+    """
+    limit = max(1000, total // most)
+    hot = F.broadcast(classes.filter(F.col("n") > limit).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("of_hot")))
+    marked = rows.join(hot, "fp", "left")
+    few = classes.filter(F.col("n") <= limit).select("fp", "component_id")
+    return (
+        marked.filter("hot").withColumn("component_id", F.col("of_hot")).drop("hot", "of_hot")
+        .unionByName(marked.filter("hot is null").drop("hot", "of_hot").join(few, "fp"))
+    )
+
+
 def groups(docs: DataFrame, shingle: int = 3, list_limit: int = 64) -> DataFrame:
     """doc_id, fp, component_id for each row of docs; component_id is the least doc_id of its class."""
     rows = written(fingerprints(docs, shingle), "simhash-fingerprints")
-    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     labels = connected_components(links(first.select("fp"), list_limit))
     linked = labels.join(first, F.col("node") == F.col("fp"))
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
     moved = linked.join(least, "label").select("fp", "least")
-    classes = first.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = first.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return by_fingerprint(rows, classes, rows.count()).select("doc_id", "fp", "component_id")
 
 
 def simhash_result(docs: DataFrame) -> DataFrame:

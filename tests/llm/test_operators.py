@@ -252,6 +252,75 @@ def test_simhash(spark, limit):
     assert all(r["component_id"] == least.get(label[r["fp"] & (1 << 64) - 1]) for r in got)
 
 
+def xxh64(data, seed=0):
+    """XXH64 from its published definition, independent of the library."""
+    m, p1, p2, p3, p4, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    rot = lambda x, r: (x << r | x >> 64 - r) & m
+    lane = lambda acc, x: rot((acc + x * p2) & m, 31) * p1 & m
+    at, n = 0, len(data)
+    if n >= 32:
+        acc = [(seed + p1 + p2) & m, (seed + p2) & m, seed & m, (seed - p1) & m]
+        while at + 32 <= n:
+            acc = [lane(a, int.from_bytes(data[at + 8 * k : at + 8 * k + 8], "little")) for k, a in enumerate(acc)]
+            at += 32
+        h = sum(rot(a, r) for a, r in zip(acc, (1, 7, 12, 18))) & m
+        for a in acc:
+            h = ((h ^ lane(0, a)) * p1 + p4) & m
+    else:
+        h = (seed + p5) & m
+    h = (h + n) & m
+    while at + 8 <= n:
+        h, at = (rot(h ^ lane(0, int.from_bytes(data[at : at + 8], "little")), 27) * p1 + p4) & m, at + 8
+    if at + 4 <= n:
+        h, at = (rot(h ^ int.from_bytes(data[at : at + 4], "little") * p1 & m, 23) * p2 + p3) & m, at + 4
+    for b in data[at:]:
+        h = rot(h ^ b * p5 & m, 11) * p1 & m
+    h = (h ^ h >> 33) * p2 & m
+    h = (h ^ h >> 29) * p3 & m
+    return h ^ h >> 32
+
+
+@pytest.mark.parametrize("text", [None, "", "one", "One TWO", "a b c", PROSE(4, 1), PROSE(60, 2), "Thé Über " + PROSE(30, 3) + " x" * 20, " \n".join(PROSE(200, 4).split())])
+def test_fingerprint_equals_plain_xxh64(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in lowered.replace("\n", " ").replace("\t", " ").split(" ") if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxh64(g.encode(), 42) for g in grams]
+    bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text) == bits
+
+
+def test_tally_counts_shared_bytes(spark):
+    """The lists that a pair shares tell six shared bytes from five; the tally drops pairs before any bit is compared."""
+    assert len(simhash.QUADS) == 14 and simhash.MINIMUM == 3
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = [base]
+    for n in range(1, 7):
+        for _ in range(6):
+            x = base
+            for p in rng.sample(range(8), n):
+                x ^= rng.randrange(1, 256) << 8 * p
+            fps.append(x)
+    distinct = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    tally = {(r["a"], r["b"]): r["shared"] for r in simhash.tallied(simhash.postings(distinct)).collect()}
+    rejected = 0
+    for x, y in itertools.combinations(fps, 2):
+        same = sum((x ^ y) >> 8 * p & 0xFF == 0 for p in range(8))
+        got = tally.get(tuple(sorted((signed(x), signed(y)))), 0)
+        assert got == {8: 14, 7: 7, 6: 3, 5: 1}.get(same, got) and (got >= simhash.MINIMUM) == (same >= 6) and got <= 1 + 13 * (same > 5)
+        rejected += 0 < got < simhash.MINIMUM
+    assert rejected
+
+
+def test_classes_of_very_many_rows(spark):
+    """Fingerprints of over 1,000 rows take the broadcast way to their class, with the same result."""
+    rows = [(i, PROSE(40, 1)) for i in range(1100)] + [(2000 + i, PROSE(40, i)) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(docs(spark, rows)).collect()}
+    assert len(got) == 1105 and all(got[i] == 0 for i in range(1100)) and got[2001] == 0 and got[2002] == 2002
+
+
 def test_simhash_bits():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
     assert simhash.fingerprint("A b") == simhash.fingerprint("a\tB ") == simhash.xxhash.xxh64_intdigest(b"a b", 42)

@@ -13,9 +13,14 @@ so a step is a few array operations whatever the texts.
 The sample is bounded by `docs_per_lang` documents (those with the least hashes of doc_id) and `sample_chars` characters
 per language, parameters of `train`; it does not grow with the corpus.
 
+`keep_known` rejects what is in no learned language: texts without a letter, and those whose cheapest parse costs more bits
+than writing their letters out plainly would (a byte a letter, two where the samples hold over 200 letters). Random
+letters cost more than that, text of a learned language about a third. Texts of under LEAST_LETTERS letters are too short
+to tell and stay. Where a row has no lang the prediction is filled in.
+
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text where no labelled text
-exists; ties go to the language first in order; repeated rows repeat; other columns are ignored by `identify` and kept
-by `keep_known`.
+exists (`keep_known` then keeps every text with a letter); ties go to the language first in order; repeated rows repeat;
+other columns are ignored by `identify` and kept by `keep_known`.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +41,7 @@ WIDTH, PIECE, BATCH = 64, 1024, 2_000_000
 #: Codes: 0 ends a sample text, 1 is any letter that no sample has, 2 is a run of anything but letters; those from WIDTH on
 #: have sparse transitions.
 SEPARATOR, OTHER, GAP = 0, 1, 2
+LEAST_LETTERS = 20
 
 
 @dataclass(frozen=True)
@@ -91,6 +98,7 @@ class Parser:
         for n, (c, _) in enumerate(sorted(letters, key=lambda x: (-x[1], x[0]))):
             self.codes[ord(c)] = n + 3
         self.size = max(WIDTH, len(letters) + 3)
+        self.plain = 8.0 if len(letters) <= 200 else 16.0  #: bits of a letter written out
         self.langs = [lang for lang, _ in model.samples]
         if not self.langs:
             return
@@ -158,11 +166,21 @@ class Parser:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
-        for lo in self.batches(texts, known):
+        langs, scores, _ = self.judged(texts)
+        return langs, scores
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether it reads as text of a learned language at all."""
+        langs, scores, reads = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        if not self.langs:
+            for i in lettered:
+                reads[i] = True
+            return langs, scores, reads
+        for lo in self.batches(texts, lettered):
             lowered = [texts[i].lower() for i in lo]
-            entropy = self.phrases(lowered) * self.log_sizes / np.array([max(1, len(t)) for t in lowered])[:, None]
+            cost = self.phrases(lowered) * self.log_sizes
+            entropy = cost / np.array([max(1, len(t)) for t in lowered])[:, None]
             best = entropy.argmin(1)
             ranked = np.sort(entropy, 1)
             other = ranked[:, 1] if len(self.langs) > 1 else np.full(len(lo), np.inf)
@@ -170,7 +188,9 @@ class Parser:
                 langs[i] = self.langs[best[k]]
                 # From a half (undecided) to 1 as the runner-up needs more.
                 scores[i] = 1.0 if np.isinf(other[k]) else float(other[k] / (other[k] + ranked[k, 0]))
-        return langs, scores
+                letters = int((self.encoded(lowered[k]) != GAP).sum())
+                reads[i] = letters < LEAST_LETTERS or bool(cost[k].min() <= self.plain * letters)
+        return langs, scores, reads
 
     @staticmethod
     def batches(texts: list[str | None], which: list[int]) -> Iterator[list[int]]:
@@ -235,15 +255,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text is in some language, all columns."""
+    """The rows of docs whose text reads as some learned language, all columns; a null lang is filled by the prediction."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model)
         for b in batches:
-            langs, _ = p.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([lang != "und" for lang in langs], pa.bool_()))
+            found, _, reads = p.judged(b.column(at).to_pylist())
+            if "lang" in names and model.samples:
+                k = names.index("lang")
+                b = b.set_column(k, b.schema.field(k), pc.coalesce(b.column(k), pa.array(found, pa.string()).cast(b.column(k).type)))
+            yield b.filter(pa.array(reads, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -463,7 +463,29 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == l for i, _, l, _ in rows[:36]) and got[92]["lang_pred"] == "bb"
     assert got[90]["lang_pred"] == got[91]["lang_pred"] == "und" and got[91]["score"] == 0 and all(0 <= r["score"] <= 1 and r["held_out"] == (fold(i, 4) == 2) for i, r in got.items())
     assert {r["lang_pred"] for r in language.language_result(df.filter("lang is null")).collect()} == {"und"} and language.language_result(df.filter("false")).count() == 0
-    assert language.keep_known(df, language.train(df)).count() == len(rows) - 2
+    kept = {r["doc_id"]: r for r in language.keep_known(df, language.train(df)).collect()}
+    assert set(kept) == {i for i, *_ in rows} - {90, 91} and kept[92]["lang"] == "bb" and all(kept[i]["lang"] == l for i, _, l, _ in rows[:36])
+    nothing = language.keep_known(df.filter("lang is null or doc_id > 89"), language.Model(()))
+    assert {r["doc_id"]: r["lang"] for r in nothing.collect()} == {92: None}
+
+
+def test_language_on_real_texts(spark):
+    """Held-out accuracy; what is in no language goes, short and odd texts stay."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(df)
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    true = {r["doc_id"]: r["lang"] for r in df.select("doc_id", "lang").collect()}
+    held = [i for i in true if got[i]["held_out"] and got[i]["lang_pred"] != "und"]
+    assert len(held) > 200 and sum(got[i]["lang_pred"] == true[i] for i in held) >= 0.99 * len(held)
+    lettered = {r["doc_id"] for r in df.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    assert {r["doc_id"] for r in language.keep_known(df, model).collect()} == lettered
+    rng = random.Random(1)
+    p = language.parser(model)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 400, 5000)] + ["каждый охотник желает знать где сидит фазан"]
+    assert p.judged(noise)[2] == [False] * 4 and p.judged(["ok", "Zürich", "12 %", "", None])[2] == [True, True, False, False, False]
+    # Ties go to the language first in order.
+    twins = language.parser(language.Model((("aa", ("same text here",)), ("bb", ("same text here",)))))
+    assert twins.predict(["same text", "zzz"]) == (["aa", "aa"], [0.5, 0.5])
 
 
 # 9
@@ -558,14 +580,43 @@ def test_decontamination(spark):
     rows = ROWS + [(20, PROSE(50, 5) + " " + item.upper() + "! " + PROSE(50, 6)), (21, "x " + changed), (22, " ".join(reversed(w))), (23, " ".join(w[5:11])), (24, "so: tiny little ITEM here")]
     bench = spark.createDataFrame([(1, item, 0), (2, "tiny, little item", 0), (3, None, 0), (4, "--", 0), (5, item, 0)], "item_id long, text string, b int")
     want = {(20, 1), (20, 5), (21, 1), (21, 5), (24, 2)}
-    for limit in (500_000, 0):
-        got = decontamination.overlaps(docs(spark, rows), bench, broadcast_limit=limit).collect()
+    for way in WAYS:
+        got = decontamination.overlaps(docs(spark, rows), bench, **way).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(r["matched"] >= 0.8 * r["compared"] for r in got)
     kept = decontamination.clean(docs(spark, rows), bench).collect()
     assert len(kept) == len(rows) - 3 and not {20, 21, 24} & {r["doc_id"] for r in kept}
     assert decontamination.overlaps(empty(spark), bench).count() == 0 and decontamination.overlaps(docs(spark), bench.filter("false")).count() == 0
 
 
+#: The benchmark whole, in blocks, and joined by shuffling.
+WAYS = ({}, {"broadcast_bytes": 14_000}, {"broadcast_bytes": 8_000}, {"broadcast_bytes": 0})
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_decontamination_tells_rows_apart(spark, way):
+    """Rows that share a doc_id or have none are judged by their own texts, also where the texts differ in length."""
+    item, other = PROSE(30, 1), PROSE(14, 2)
+    rows = [(1, PROSE(50, 3)), (1, PROSE(20, 4) + " " + item), (1, "short"), (None, PROSE(9, 5) + " " + other + " " + PROSE(400, 6)), (None, PROSE(40, 7)), (None, None), (2, item), (2, item), (3, "")]
+    bench = spark.createDataFrame([(1, item, 0), (2, other, 0), (3, item, 0), (4, None, 0)], "item_id long, text string, h int")
+    found = {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontamination.overlaps(docs(spark, rows), bench, **way).collect()}
+    assert found == {(1, 1): (20, 20), (1, 3): (20, 20), (2, 1): (20, 20), (2, 3): (20, 20), (None, 2): (14, 14)}
+    kept = decontamination.clean(docs(spark, rows), bench, **way)
+    assert kept.columns == docs(spark).columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([rows[0], rows[2], rows[4], rows[5], rows[8]])
+    assert decontamination.clean(docs(spark, rows), bench.filter("false"), **way).count() == len(rows) and decontamination.clean(empty(spark), bench, **way).count() == 0
+
+
+def test_decontamination_sql_equals_the_query(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as from '{folder}/{t}.parquet'")
+    got = decontamination.overlaps(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"select doc_id, item_id, matched, compared from ({decontamination.ORACLE})").fetchall()) and got
+
+
 def test_masks_hit_every_alignment():
     # The least length for each number of substitutions at 80 %; a longer run with as many holds one of these.
     assert [decontamination.missed(decontamination.MASKS, n, k) for n, k in ((12, 2), (15, 3), (20, 4))] == [0, 0, 0]
@@ -605,8 +656,8 @@ def test_decontamination_equals_all_alignments(spark):
                     expected[i, item] = max(f, expected.get((i, item), f))
     df = spark.createDataFrame([(i, " ".join(h)) for i, h in rows], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
-    for limit in (500_000, 0):
-        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontamination.overlaps(df, bench, broadcast_limit=limit).collect()}
+    for way in WAYS:
+        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontamination.overlaps(df, bench, **way).collect()}
         assert got == expected
     assert {(i, 0) for i in range(455)} <= set(expected)
 

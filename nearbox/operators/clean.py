@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearbox.functions import vectors
 from nearbox.functions.text import countries
+from nearbox.sources.tables import write_csv
 
 SCALED = ("budget", "revenue", "runtime", "vote_average", "vote_count", "popularity")
 VECTOR = ("popularity", "vote_average", "runtime", "budget", "release_year")
 
 
 def fill_nulls(df: DataFrame) -> DataFrame:
-    """Numbers become 0; strings 'Unknown'."""
+    """Numbers become 0; strings 'Unknown', and so do truth values, dates and times, which become strings if they miss any."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.na.fill(0, numeric).na.fill("Unknown", text)
+    other = [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType)]
+    missing = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in other]).first().asDict() if other else {}
+    other = [c for c in other if missing[c]]
+    return df.withColumns({c: F.col(c).cast("string") for c in other}).na.fill(0, numeric).na.fill("Unknown", text + other)
 
 
 def parse_dates(df: DataFrame, column: str = "release_date", year: str = "release_year") -> DataFrame:
@@ -65,6 +69,16 @@ def load_and_process(df: DataFrame, apply_filter: bool = False, normalize: bool
     return min_max_scale(df) if normalize else df
 
 
+def save_preprocessed(df: DataFrame, path: str) -> DataFrame:
+    """Clean and filter df, write it as CSV, and return what was kept (see retention), counted while writing."""
+    before, after = Observation(), Observation()
+    seen = df.observe(before, F.count("*").alias("n"))
+    write_csv(load_and_process(seen, apply_filter=True, normalize=False).observe(after, F.count("*").alias("n")), path)
+    rows_in, rows_out = before.get["n"], after.get["n"]
+    share = round(100.0 * rows_out / rows_in, 4) if rows_in else 0.0
+    return df.sparkSession.createDataFrame([(rows_in, rows_out, share)], "rows_in long, rows_out long, retention_pct double")
+
+
 def retention(before: DataFrame, after: DataFrame) -> DataFrame:
     """rows_in, rows_out, percent kept."""
     counted = before.agg(F.count("*").alias("rows_in")).crossJoin(after.agg(F.count("*").alias("rows_out")))

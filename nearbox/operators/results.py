@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearbox.session import bounded
+
 
 def rounded(similarity: Column) -> Column:
     """Four places, half to even."""
@@ -32,7 +34,7 @@ def single(results: DataFrame, query: DataFrame | None = None, include_titles: b
     """
     grouped = results.groupBy("query_id").agg(_entries(include_titles, include_tokens).alias("results"), F.count("*").alias("total_results"))
     if query is not None and include_titles:
-        grouped = grouped.join(F.broadcast(query.select("query_id", F.col("title").alias("__title"))), "query_id", "left")
+        grouped = grouped.join(bounded(query.select("query_id", F.col("title").alias("__title"))), "query_id", "left")
     else:
         grouped = grouped.withColumn("__title", F.lit(None).cast("string"))
     document = F.struct(
@@ -61,7 +63,7 @@ def batch(results: DataFrame, query: DataFrame | None = None, include_titles: bo
     """One document over all queries of a result of bounded size (queries by top-n)."""
     grouped = results.groupBy("query_id").agg(_entries(include_titles, include_tokens).alias("results"), F.count("*").alias("total_results"))
     if query is not None and include_titles:
-        grouped = grouped.join(F.broadcast(query.select("query_id", F.col("title").alias("query_title"))), "query_id", "left")
+        grouped = grouped.join(bounded(query.select("query_id", F.col("title").alias("query_title"))), "query_id", "left")
     else:
         grouped = grouped.withColumn("query_title", F.lit(None).cast("string"))
     entry = F.struct(F.col("query_id").alias("query_movie_id"), "results", "query_title", "total_results")

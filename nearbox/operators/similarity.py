@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearbox.functions import minhash, text, vectors
+from nearbox.session import bounded, written
 
 NUM_PERM, THRESHOLD = 128, 0.5
 
@@ -57,7 +58,7 @@ def ranked(df: DataFrame, queries: DataFrame, key: str, top_n: int, keep_self: b
     if not keep_self:
         found = found.filter(F.col(key) != F.col("query_id"))
     q = queries.select(F.col(key).alias("query_id"), F.col("signature").alias("query_signature"))
-    scored = found.join(df.select(key, "signature"), key).join(F.broadcast(q), "query_id").withColumn("similarity", minhash.estimated_jaccard(F.col("signature"), F.col("query_signature")))
+    scored = found.join(df.select(key, "signature"), key).join(bounded(q), "query_id").withColumn("similarity", minhash.estimated_jaccard(F.col("signature"), F.col("query_signature")))
     if min_similarity is not None:
         scored = scored.filter(F.col("similarity") >= min_similarity)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
@@ -92,13 +93,42 @@ def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 def stride_pick(df: DataFrame, key: str, num_queries: int) -> DataFrame:
-    """Rows in order of token count (most first), every step-th, at most num_queries."""
-    order = Window.orderBy(F.desc("n_tokens"), key)
+    """Rows in order of token count (most first), every step-th, at most num_queries.
+
+    The order is made by range partitions, each sorted by itself; a row's place is its place in its partition after the
+    rows of the partitions before it, of which there are as many numbers as partitions.
+    """
     counted = df.select(key, F.size("tokens").alias("n_tokens"))
-    n = counted.count()
+    placed = written(counted.orderBy(F.desc("n_tokens"), key).withColumn("__at", F.monotonically_increasing_id()), "stride")
+    # The upper bits of the number are the partition, the lower ones the place in it.
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    n = sum(sizes.values())
     step = max(1, n // num_queries) if num_queries else 1
-    # The order is global: keep the rows that can be picked before the window sees them.
-    return counted.withColumn("nth", F.row_number().over(order) - 1).filter(F.col("nth") % step == 0).orderBy("nth").limit(num_queries).select(key, "n_tokens", "nth")
+    before, rows = {}, 0
+    for k in sorted(sizes):
+        before[k] = rows
+        rows += sizes[k]
+    starts = df.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")
+    picked = placed.join(F.broadcast(starts), part == F.col("__part")).withColumn("nth", F.col("__before") + place)
+    return picked.filter((F.col("nth") % step == 0) & (F.col("nth") < step * num_queries)).select(key, "n_tokens", "nth")
+
+
+def choose_queries(df: DataFrame, inside: DataFrame, key: str, num_queries: int) -> DataFrame:
+    """stride_pick among the rows inside the box, or among all rows where the box holds none."""
+    return stride_pick(df if inside.isEmpty() else inside, key, num_queries)
+
+
+def similar_to(df: DataFrame, key: str, query=None, top_n: int = 10, **options) -> DataFrame:
+    """The top_n rows most like one row, itself left out; the row of least key if none is named. df has signatures."""
+    if top_n <= 0:
+        raise ValueError("top_n must be positive")
+    if query is None and (query := df.agg(F.min(key)).first()[0]) is None:
+        raise ValueError("there are no rows to choose a query from")
+    asked = df.filter(F.col(key) == query)
+    if asked.isEmpty():
+        raise ValueError(f"no row has the {key} {query}")
+    return ranked(df, asked, key, top_n, keep_self=False, **options)
 
 
 def hybrid(df: DataFrame, key: str, dims: Sequence[str], lo: Sequence[float], hi: Sequence[float], queries: DataFrame, top_n: int = 10, **options) -> DataFrame:

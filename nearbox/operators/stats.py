@@ -1,4 +1,4 @@
-"""Descriptive statistics: exact, in one pass over the table where one is enough."""
+"""Descriptive statistics: exact, in one pass over the table where one is enough; quantiles by rank selection."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearbox.operators.quantiles import quantiles
+
 PLACES = 6
 
 
@@ -16,30 +18,42 @@ def exact_mean(c: str) -> Column:
     return (F.sum(F.col(c).cast("decimal(38,10)")).cast("double") / F.count(c)).cast("double")
 
 
-def per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, callable]) -> DataFrame:
-    """A row for each column with the named measures, from one aggregation."""
+def per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, callable], ranks: dict[str, float]) -> DataFrame:
+    """A row for each column with the named measures, from one aggregation, and the quantiles named in ranks."""
+    at = quantiles(df, columns, list(ranks.values()))
     one = df.agg(*[F.struct(*[f(c).cast("double").alias(n) for n, f in measures.items()]).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{n}").alias(n) for n in measures]) for c in columns])).alias("x")).select("x.*")
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{n}").alias(n) for n in measures], *[F.lit(at[c][k]).cast("double").alias(n) for k, n in enumerate(ranks)])
+        for c in columns
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def vector_stats(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     """min, max, mean, median and population deviation of each dimension."""
-    return per_column(df, dims, {
-        "min": F.min, "max": F.max, "mean": lambda c: F.round(exact_mean(c), PLACES), "median": lambda c: F.percentile(c, 0.5), "std": lambda c: F.round(F.stddev_pop(c), PLACES),
-    })
+    return per_column(df, dims, {"min": F.min, "max": F.max, "mean": lambda c: F.round(exact_mean(c), PLACES), "std": lambda c: F.round(F.stddev_pop(c), PLACES)}, {"median": 0.5})
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, extremes and linear quartiles."""
-    return per_column(df, columns, {
-        "count": F.count, "mean": lambda c: F.round(exact_mean(c), PLACES), "std": lambda c: F.round(F.stddev_samp(c), PLACES), "min": F.min,
-        "p25": lambda c: F.percentile(c, 0.25), "p50": lambda c: F.percentile(c, 0.5), "p75": lambda c: F.percentile(c, 0.75), "max": F.max,
-    })
+    measures = {"count": F.count, "mean": lambda c: F.round(exact_mean(c), PLACES), "std": lambda c: F.round(F.stddev_samp(c), PLACES), "min": F.min, "max": F.max}
+    return per_column(df, columns, measures, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def percentile_box(df: DataFrame, dims: Sequence[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """One row lo_<dim>, hi_<dim>, by linear interpolation."""
-    return df.agg(*[x for d in dims for x in (F.percentile(d, low).alias(f"lo_{d}"), F.percentile(d, high).alias(f"hi_{d}"))])
+    at = quantiles(df, dims, [low, high])
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(f"{n}_{d}") for d in dims for n, v in zip(("lo", "hi"), at[d], strict=True)])
+
+
+def throughput(n: Column, seconds: Column) -> Column:
+    """n a second, 0 where no time passed."""
+    return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))
+
+
+def first_rows(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in the order of the given columns."""
+    return df.orderBy(*by).limit(n)
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def bounds_exact(spark, d):
     return point_table(spark, d).bounds(0)
 
 
-@query()
+@query("SELECT i AS id, " + ", ".join(f"('0x' || substr(md5('42:{k}:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS x{k}" for k in range(5)) + " FROM range(10000) r(i)")
 def uniform_source(spark, d):
     return tables.uniform_points(spark, 10_000)
 
@@ -205,10 +205,8 @@ SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id
 def knn_embedding(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    from pyspark.sql import Window
-
-    near = e.crossJoin(F.broadcast(q)).withColumn("distance", F.round(vectors.array_distance(F.col("e"), F.col("embedding")), 9))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter("rank <= 10").select("query_id", "vec_id", "distance", "rank")
+    distance = F.round(vectors.array_distance(F.col("e"), F.col("embedding")), 9)
+    return spatial.nearest(e, q, distance, ["vec_id"], 10, sample=256).select("query_id", "vec_id", "distance", "rank")
 
 
 # Statistics
@@ -408,9 +406,13 @@ class Flagship:
         box = stats.percentile_box(self.movies, MOVIE_DIMS).first()
         self.lo, self.hi = [box[f"lo_{x}"] for x in MOVIE_DIMS], [box[f"hi_{x}"] for x in MOVIE_DIMS]
         self.inside = self.movies.filter(vectors.in_box(MOVIE_DIMS, self.lo, self.hi))
-        self.picked = written(similarity.stride_pick(self.inside, "id", 5), "picked")
+        self.picked = written(similarity.choose_queries(self.movies, self.inside, "id", 5), "picked")
         self.queries = similarity.with_signatures(self.movies.join(F.broadcast(self.picked.select("id")), "id", "left_semi"))
 
+    def signed(self) -> DataFrame:
+        """Keys and signatures of all rows, signed once."""
+        return written(similarity.with_signatures(self.movies).select("id", "signature"), "signatures")
+
 
 @query(f"{FLAGSHIP} SELECT id, CAST(n_tokens AS INTEGER) AS n_tokens, nth FROM picked")
 def stride_pick(spark, d):
@@ -420,13 +422,13 @@ def stride_pick(spark, d):
 @query(f"{FLAGSHIP}, {CANDIDATES} SELECT query_id, id FROM found")
 def lsh_candidates(spark, d):
     f = Flagship(spark, d)
-    return similarity.candidates(similarity.with_signatures(f.movies), f.queries, "id")
+    return similarity.candidates(f.signed(), f.queries, "id")
 
 
 @query(f"{FLAGSHIP}, {CANDIDATES}, {SCORED} SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM scored WHERE id <> query_id QUALIFY rank <= 10")
 def similar_top_n(spark, d):
     f = Flagship(spark, d)
-    return similarity.ranked(similarity.with_signatures(f.movies), f.queries, "id", 10, keep_self=False)
+    return similarity.ranked(f.signed(), f.queries, "id", 10, keep_self=False)
 
 
 def hybrid_sql(where: str = "") -> str:
@@ -533,9 +535,125 @@ def result_json_batch(spark, d):
     return results.batch(rows, asked)
 
 
-@query("""SELECT '{"results":[{"rank":1,"movie_id":123,"similarity":0.85,"title":"The Matrix"},{"rank":2,"movie_id":456,"similarity":0.72,"title":"Inception"},{"rank":3,"movie_id":789,"similarity":0.0312,"title":"Interstellar"}],"metadata":{"total_results":3,"has_titles":true}}' AS document""")
+@query(f"""WITH {MOVIES}, r AS (SELECT id, title, popularity / 1000 AS similarity, row_number() OVER (ORDER BY popularity DESC, id) AS rank FROM movies QUALIFY rank <= 12)
+SELECT '{{"results":[' || string_agg({ENTRY}, ',' ORDER BY rank) || '],"metadata":{{"total_results":' || count(*) || ',"has_titles":true}}}}' AS document FROM r""")
 def result_json_simple(spark, d):
-    return results.simple(results.simple_rows(spark, [123, 456, 789], [0.85, 0.72, 0.03125], ["The Matrix", "Inception", "Interstellar"]), True)
+    """The dozen most popular rows, given as plain lists."""
+    top = stats.top_k(views.movies(spark, d).select("id", "title", "popularity"), "popularity", "id", 12).collect()
+    return results.simple(results.simple_rows(spark, [r["id"] for r in top], [r["popularity"] / 1000 for r in top], [r["title"] for r in top]), True)
+
+
+@query(f"""{hybrid_sql()}, {LISTED} SELECT query_id, 'default' AS scheme, '{{"query":{{"movie_id":' || query_id || ',"title":' || to_json(title) || '}},"results":' || results || ',"metadata":{{"total_results":' || n || ',"include_titles":true,"include_tokens":false}}}}' AS document FROM named
+UNION ALL SELECT -1, 'summary', '{{"queries":' || count(*) || ',"results":' || sum(n) || '}}' FROM listed""")
+def result_files(spark, d):
+    """Documents written by query and scheme and a summary, read back from their folders."""
+    rows, asked = result_rows(spark, d)
+    documents = results.single(rows, asked).withColumn("scheme", F.lit("default"))
+    summary = rows.agg(F.to_json(F.struct(F.count_distinct("query_id").alias("queries"), F.count("*").alias("results"))).alias("document"))
+    path = new_shared_path(spark, "results")
+    tables.write_results(documents, summary, path)
+    back = spark.read.text(f"{path}/results").select(F.col("query_id").cast("long").alias("query_id"), "scheme", F.col("value").alias("document"))
+    return back.unionByName(spark.read.text(f"{path}/summary").select(F.lit(-1).cast("long").alias("query_id"), F.lit("summary").alias("scheme"), F.col("value").alias("document")))
+
+
+# More of the surface
+
+
+RAW = f"""{MOVIES}, raw AS (SELECT id, title, CASE WHEN id % 7 = 0 THEN 'n/a' WHEN id % 11 = 0 THEN NULL ELSE CAST(release_year AS INTEGER) || '-06-15' END AS release_date, CASE WHEN id % 5 = 0 THEN NULL ELSE budget END AS budget,
+CASE WHEN id % 13 = 0 THEN NULL ELSE runtime END AS runtime, vote_average, vote_count, popularity, origin_country, CASE WHEN id % 17 = 0 THEN NULL ELSE original_language END AS original_language, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 = 0 END AS adult FROM movies),
+cleaned AS (SELECT id, coalesce(title, 'Unknown') AS title, try_cast(release_date AS DATE) AS release_date, CAST(year(try_cast(release_date AS DATE)) AS INTEGER) AS release_year, coalesce(budget, 0) AS budget, coalesce(runtime, 0) AS runtime, vote_average, vote_count, popularity,
+origin_country, coalesce(original_language, 'Unknown') AS original_language, coalesce(CAST(adult AS VARCHAR), 'Unknown') AS adult FROM raw WHERE try_cast(release_date AS DATE) IS NOT NULL),
+kept AS (SELECT * FROM cleaned WHERE {BUSINESS})"""
+
+
+def raw_movies(spark, d) -> DataFrame:
+    m = views.movies(spark, d)
+    missing = lambda c, n: F.when(F.col("id") % n != 0, F.col(c)).alias(c)
+    date = F.when(F.col("id") % 7 == 0, "n/a").when(F.col("id") % 11 != 0, F.concat(F.col("release_year").cast("int").cast("string"), F.lit("-06-15")))
+    return m.select("id", "title", date.alias("release_date"), missing("budget", 5), missing("runtime", 13), "vote_average", "vote_count", "popularity", "origin_country", missing("original_language", 17), F.when(F.col("id") % 3 != 0, F.col("id") % 2 == 0).alias("adult"))
+
+
+SCALED_SQL = ", ".join(f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0::DOUBLE ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())::DOUBLE END AS {c}" for c in ("budget", "runtime", "vote_average", "vote_count", "popularity"))
+
+
+@query(f"WITH {RAW} SELECT id, title, strftime(release_date, '%Y-%m-%d') AS release_date, release_year, adult, {SCALED_SQL} FROM kept")
+def load_and_process(spark, d):
+    done = clean.load_and_process(raw_movies(spark, d), apply_filter=True)
+    return done.select("id", "title", F.col("release_date").cast("string").alias("release_date"), "release_year", "adult", "budget", "runtime", "vote_average", "vote_count", "popularity")
+
+
+@query(f"WITH {RAW} SELECT id, adult, coalesce(release_date, 'Unknown') AS release_date, budget IS NULL AS was_null FROM (SELECT id, coalesce(CAST(adult AS VARCHAR), 'Unknown') AS adult, release_date, budget FROM raw)")
+def fill_by_class(spark, d):
+    raw = raw_movies(spark, d).withColumn("was_null", F.col("budget").isNull())
+    return clean.fill_nulls(raw).select("id", "adult", "release_date", "was_null")
+
+
+@query(f"WITH {RAW} SELECT (SELECT count(*) FROM raw) AS rows_in, (SELECT count(*) FROM kept) AS rows_out, round(100.0::DOUBLE * (SELECT count(*) FROM kept) / (SELECT count(*) FROM raw), 4) AS retention_pct, (SELECT count(*) FROM kept) AS rows_written")
+def save_preprocessed(spark, d):
+    path = new_shared_path(spark, "preprocessed")
+    kept = clean.save_preprocessed(raw_movies(spark, d), path)
+    return kept.crossJoin(spark.read.option("header", True).option("escape", '"').csv(path).agg(F.count("*").alias("rows_written")))
+
+
+@query(f"WITH {MOVIES} SELECT id, title, popularity, budget FROM movies")
+def matrix_reference_round_trip(spark, d):
+    path = new_shared_path(spark, "matrix")
+    tables.write_matrix(views.movies(spark, d), path, ["popularity", "budget"])
+    return spark.read.parquet(f"{path}/matrix").join(spark.read.schema("id long, title string").option("header", True).option("escape", '"').csv(f"{path}/reference"), "id")
+
+
+@query(bounds_sql(0).replace("h + 0 AS hi", "h + 0 + 0.001::DOUBLE AS hi"))
+def bounds_above(spark, d):
+    return point_table(spark, d).bounds(0, above=0.001)
+
+
+@query("WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'Unknown' ELSE text END AS text FROM documents) SELECT doc_id FROM t WHERE text IS NOT NULL AND text <> '' AND text <> 'Unknown'")
+def nonempty_text(spark, d):
+    shown = F.when(F.col("doc_id") % 5 != 0, F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 11 == 0, "Unknown").otherwise(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", shown.alias("text")).filter(text.has_text(F.col("text"))).select("doc_id")
+
+
+TOLERANT = " AND ".join(f"abs({x} - {p}::DOUBLE) <= 0.01::DOUBLE + 0.3::DOUBLE * abs({p}::DOUBLE)" for x, p in zip(DIMS, AT, strict=True))
+
+
+@query(f"WITH {POINTS} SELECT {K}, {P} FROM points WHERE {TOLERANT}")
+def near_point_tolerance(spark, d):
+    return point_table(spark, d).at_point(AT, rtol=0.3, atol=0.01).select(*KEY, *DIMS)
+
+
+@query(f"WITH {MOVIES}, t AS (SELECT id, {tokens_sql(True)} AS tokens FROM movies) SELECT id, CAST(len(tokens) AS INTEGER) AS n_tokens, row_number() OVER (ORDER BY len(tokens) DESC, id) - 1 AS nth FROM t QUALIFY nth % greatest(1, (SELECT count(*) FROM t) // 7) = 0 ORDER BY nth LIMIT 7")
+def queries_of_empty_box(spark, d):
+    """A box that holds no row: the queries are chosen among all."""
+    movies = similarity.with_tokens(views.movies(spark, d), "companies", True)
+    return similarity.choose_queries(movies, movies.filter(vectors.in_box(["budget"], [-2.0], [-1.0])), "id", 7)
+
+
+@query(f"{SIGNED}, picked AS (SELECT min(id) AS id FROM sig), {BANDS_SQL}, {CANDIDATES}, {SCORED} SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM scored WHERE id <> query_id QUALIFY rank <= 5")
+def similar_to_default(spark, d):
+    """No query named: the row of least key is asked for."""
+    return similarity.similar_to(written(signed(spark, d).select("id", "signature"), "signatures"), "id", top_n=5)
+
+
+@query(f"WITH {MOVIES}, t AS (SELECT id, title, items, {tokens_sql(True)} AS tokens FROM movies), {signatures_sql(256)} SELECT id, signature FROM sig")
+def minhash_signature_256(spark, d):
+    return similarity.with_signatures(similarity.with_tokens(views.movies(spark, d), "companies", True), 256).select("id", "signature")
+
+
+@query(f"WITH {POINTS} SELECT 'kdtree' AS layout, 5 AS dimensions, '{','.join(DIMS)}' AS names, count(*) AS rows, count(*) AS points, count(DISTINCT ({P})) AS distinct_points FROM points")
+def describe_layout(spark, d):
+    return PointTable(views.points(spark, d), KEY, DIMS, "kdtree").describe()
+
+
+@query(f"WITH {MOVIES} SELECT id, title FROM movies ORDER BY id LIMIT 100")
+def prefix_slice(spark, d):
+    return stats.first_rows(views.movies(spark, d).select("id", "title"), ["id"], 100)
+
+
+@query("WITH g AS (SELECT event_type, count(*) AS n, CAST(sum(user_id % 2) AS BIGINT) AS seconds FROM events GROUP BY event_type) SELECT event_type, n, CASE WHEN seconds > 0 THEN n / seconds::DOUBLE ELSE 0 END AS rate FROM g UNION ALL SELECT event_type, n, 0 FROM g")
+def throughput_rates(spark, d):
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("user_id") % 2).alias("seconds"))
+    g = g.unionByName(g.withColumn("seconds", F.lit(0).cast("long")))
+    return g.select("event_type", "n", stats.throughput(F.col("n"), F.col("seconds").cast("double")).alias("rate"))
 
 
 # Changes
@@ -558,6 +676,21 @@ def points_delete(spark, d):
     return customer_points(spark, d).delete(gone).df
 
 
+@query(f"WITH {CUSTOMER_POINTS} SELECT y, 2 AS asked, least(2, count(id)) AS found FROM (SELECT unnest(range(0, 40, 4))::DOUBLE AS y) a LEFT JOIN pts USING (y) GROUP BY y")
+def points_delete_found(spark, d):
+    """How many of the rows that a deletion asks for are there."""
+    gone = spark.range(20).select((F.col("id") % 10 * 4).cast("double").alias("y"))
+    return customer_points(spark, d).matched(gone)
+
+
+@query(f"WITH {CUSTOMER_POINTS} SELECT id, x, y FROM pts QUALIFY y >= 3 OR row_number() OVER (PARTITION BY x, y ORDER BY id) > 1 UNION ALL SELECT -id, x, y + 50 FROM (SELECT * FROM pts WHERE y < 3 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY id) = 1)")
+def points_update_payload(spark, d):
+    """A change that brings a new key along; one that matches nothing changes nothing."""
+    t = customer_points(spark, d)
+    own = t.df.filter("y < 3").groupBy("x", "y").agg(F.min("id").alias("id")).select("x", "y", F.col("x").alias("new_x"), (F.col("y") + 50).alias("new_y"), (-F.col("id")).alias("new_id"))
+    return t.update(own.unionByName(spark.createDataFrame([(-1e9, -1.0, 0.0, 0.0, 0)], "x double, y double, new_x double, new_y double, new_id long"))).df
+
+
 @query(f"WITH {CUSTOMER_POINTS}, o AS (SELECT x, y FROM pts WHERE y < 3) SELECT id, CASE WHEN y < 3 AND row_number() OVER (PARTITION BY x, y ORDER BY id) = 1 THEN x + 1 ELSE x END AS x, CASE WHEN y < 3 AND row_number() OVER (PARTITION BY x, y ORDER BY id) = 1 THEN y + 100 ELSE y END AS y FROM pts")
 def points_update(spark, d):
     t = customer_points(spark, d)

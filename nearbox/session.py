@@ -6,6 +6,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only in local mode, where one machine is all there is, and only if the session names no folder.
 LOCAL_SHARED = "file:///tmp/checkpoints/nearbox"
@@ -46,6 +47,17 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which is counted; else as it is, to be joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def blocks(df: DataFrame, key: str, rows: int = 10_000) -> list[DataFrame]:
+    """df in parts of about so many rows by the hash of key, for joins that can't go without a broadcast."""
+    parts = max(1, -(-df.count() // rows))
+    return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+
+
 @contextlib.contextmanager
 def ansi_off(spark: SparkSession):
     """Expressions built inside wrap on overflow; the mode is captured when an expression is built."""

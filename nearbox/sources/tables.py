@@ -31,8 +31,9 @@ def points(spark: SparkSession, rows: Sequence[Sequence[float]], payload: Sequen
 
 
 def uniform_points(spark: SparkSession, n: int, dims: int = 5, seed: int = 42) -> DataFrame:
-    """n seeded points, uniform on [0, 1)."""
-    return spark.range(n).select("id", *[F.rand(seed + k).alias(f"x{k}") for k in range(dims)])
+    """n seeded points, uniform on [0, 1): 52 bits of a hash of seed, dimension and id, so equal whatever the partitions."""
+    x = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return spark.range(n).select("id", *[x(k).alias(f"x{k}") for k in range(dims)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -44,11 +45,23 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_matrix(df: DataFrame, path: str, dims: Sequence[str], reference: Sequence[str] = ("id", "title")) -> None:
+    """The matrix (key and dimensions, Parquet) and what its rows refer to (CSV), in two folders."""
+    df.select(reference[0], *dims).write.mode("overwrite").parquet(f"{path}/matrix")
+    write_csv(df.select(*reference), f"{path}/reference")
+
+
 def write_documents(documents: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """JSON documents as text files, in folders by the given columns."""
     writer = documents.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def write_results(documents: DataFrame, summary: DataFrame, path: str, by: Sequence[str] = ("query_id", "scheme")) -> None:
+    """A JSON document (column document) in a folder of its own for each query and scheme, and a summary document."""
+    write_documents(documents.select(*by, "document"), f"{path}/results", by)
+    write_documents(summary.select("document"), f"{path}/summary")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)

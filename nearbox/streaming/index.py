@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nearbox.functions import vectors
 from nearbox.operators import similarity
+from nearbox.session import blocks
 
 
 def append_bands(stream: DataFrame, key: str, column: str, path: str, checkpoint: str, use_shingles: bool = True, **trigger) -> StreamingQuery:
@@ -23,6 +25,7 @@ def append_bands(stream: DataFrame, key: str, column: str, path: str, checkpoint
 
 
 def box_filter(stream: DataFrame, boxes: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Arriving points in the boxes (query_id, lo_<dim>, hi_<dim>) of a static table of bounded size."""
+    """Arriving points in the boxes (query_id, lo_<dim>, hi_<dim>) of a static table, taken in blocks of a broadcast's size."""
     on = vectors.in_box(dims, [F.col(f"lo_{d}") for d in dims], [F.col(f"hi_{d}") for d in dims])
-    return stream.filter(vectors.finite(dims)).join(F.broadcast(boxes), on)
+    points = stream.filter(vectors.finite(dims))
+    return reduce(DataFrame.unionByName, [points.join(F.broadcast(some), on) for some in blocks(boxes, "query_id")])

@@ -13,7 +13,9 @@ equals): equal windows have the same owner, wherever they are. So:
 3. What these windows cover is sent back by text and merged; workers memory-map it and cut the texts.
 
 An owner with more than `crowd` segments would make one shard large. Its windows don't go through a suffix array but are
-counted one by one, by hash, spread over all shards; the result is the same up to the collisions of a 128-bit hash.
+counted by hash: counts are summed within batches first, so a window met everywhere is one number a batch; the hashes met
+again are stored as sorted arrays, and a scan looks its windows up in them. No occurrence moves. The result is the same
+up to the collisions of two independent 64-bit hashes, in both of which a window must be met again.
 
 Texts are known by a 128-bit hash of their bytes, so equal texts are cut alike; each counts for the other. Long texts
 are worked on in pieces of `PIECE` windows.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from nearbox.llm.induced import BASE, INVERSE, powers, prefix_at_least, suffix_array
 from nearbox.llm.perplexity import Gathered, emitted, slices
-from nearbox.llm.shared_arrays import opened, put, unpacked
+from nearbox.llm.shared_arrays import opened, put, shards_for, unpacked
 from nearbox.session import new_shared_path, written
 
 LENGTH, GRAM, PIECE, BATCH = 400, 128, 1 << 20, 2_000_000
@@ -218,6 +220,9 @@ def joined_intervals(rows: np.ndarray) -> np.ndarray:
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     new_key = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
     group = np.cumsum(new_key).astype(np.uint64) - np.uint64(1)
+    if group[-1] >= 1 << 23:  # so that a group's number and an offset in a text share 64 bits
+        half = int(np.searchsorted(group, group[-1] // np.uint64(2)))
+        return np.concatenate([joined_intervals(rows[:half]), joined_intervals(rows[half:])])
     reach = np.maximum.accumulate(rows[:, 3] + (group << np.uint64(40))) - (group << np.uint64(40))
     first = np.flatnonzero(new_key | np.concatenate([[True], rows[1:, 2] > reach[:-1]]))
     last = np.append(first[1:], len(rows)) - 1
@@ -263,7 +268,7 @@ def find(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     """texts: one column, text."""
     spark = texts.sparkSession
     if shards is None:
-        shards = 1 << min(12, max(3, (texts.rdd.getNumPartitions() - 1).bit_length()))
+        shards = shards_for(texts)
     folder = new_shared_path(spark, "repeats")
 
     def count_owners(batches):
@@ -290,7 +295,7 @@ def find(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
 
     owners = texts.mapInArrow(count_owners, "shard int, packed binary").groupBy("shard").applyInArrow(store_owners, "shard int, again long, crowded long, segments long").collect()
     held = frozenset({("again", r["shard"]) for r in owners if r["again"]} | {("crowded", r["shard"]) for r in owners if r["crowded"]})
-    arrays = 1 << min(16, max(0, int(sum(r["segments"] for r in owners) * (length + gram) // SHARD_BYTES).bit_length()))
+    arrays = 1 << min(24, max(0, int(sum(r["segments"] for r in owners) * (length + gram) // SHARD_BYTES).bit_length()))
 
     def send_segments(batches):
         regions: dict[bytes, tuple[int, int]] = {}
@@ -358,47 +363,59 @@ def find(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         rows = sent(np.stack([where[:, 1], where[:, 2], where[:, 3] + lo[i].astype(np.uint64), where[:, 3] + hi[i].astype(np.uint64)], 1), shards)
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "intervals": pa.array([r[1] for r in rows], pa.binary())})
 
-    def send_windows(batches):
-        """The windows of crowded owners: 128-bit hash, key, offset, times; spread by hash."""
-        kept, size = [], 0
+    def crowded_windows(x: Laid) -> tuple[np.ndarray, ...]:
+        """Of the windows of crowded owners: where they are, and two hashes."""
+        h, lo, hi, _ = segments(x.text, x.starts, x.ends, length, gram)
+        some = held_in(folder, "crowded", held, shards, h)
+        lo, n = lo[some], (hi - lo + 1)[some]
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if not len(at):
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        roll = Rolling(x.text)
+        return at, roll.of(length)[at], stirred(roll.of(length // 2)[at] + np.uint64(3) * roll.of(length - length // 2)[at + length // 2])
+
+    def count_windows(batches):
+        """Counts of window hashes by shard; those of the second hash go to as many shards more."""
+        gathered = (Gathered(), Gathered())
+
+        def out(k):
+            b = emitted(shards, 64, *gathered[k].take())
+            return pa.RecordBatch.from_arrays([pa.array([s + k * shards for s in b.column(0).to_pylist()], pa.int32()), b.column(1)], names=["shard", "packed"])
 
-        def out():
-            nonlocal kept, size
-            w = np.concatenate(kept)
-            shard = shard_of(w[:, 0], shards)
-            order = np.argsort(shard, kind="stable")
-            w, shard = w[order], shard[order]
-            bounds = np.searchsorted(shard, np.arange(shards + 1))
-            some = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-            kept, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zstandard.compress(np.ascontiguousarray(w[bounds[s] : bounds[s + 1]].T).tobytes(), 1) for s in some], pa.binary())], names=["shard", "windows"])
+        for b in slices(batches, 0, BATCH):
+            for x in laid(b.column(0), length):
+                at, *hashes = crowded_windows(x)
+                times = x.times[np.searchsorted(x.ends, at, "right")]
+                for k, h in enumerate(hashes):
+                    keys, inverse = np.unique(h, return_inverse=True)
+                    if len(keys) and gathered[k].add(keys, np.bincount(inverse, weights=times, minlength=len(keys))):
+                        yield out(k)
+        for k in range(2):
+            if gathered[k].size:
+                yield out(k)
+
+    def store_windows(table: pa.Table) -> pa.Table:
+        s = table.column("shard")[0].as_py()
+        keys, counts = unpacked(table.column("packed").to_pylist(), 1)
+        kind, again = ("window", "other")[s // shards], keys[counts[:, 0] > 1]
+        put(f"{folder}/{kind}-{s % shards}", again.astype("<u8").tobytes())
+        return pa.table({"kind": pa.array([kind]), "shard": pa.array([s % shards], pa.int32()), "again": pa.array([len(again)], pa.int64())})
 
+    def mark_windows(batches):
+        """What the repeated windows of crowded owners cover, by text."""
         for b in slices(batches, 0, BATCH):
+            rows = []
             for x in laid(b.column(0), length):
-                h, lo, hi, _ = segments(x.text, x.starts, x.ends, length, gram)
-                some = held_in(folder, "crowded", held, shards, h)
-                lo, n = lo[some], (hi - lo + 1)[some]
-                if not len(lo):
-                    continue
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at, first, second = crowded_windows(x)
+                hit = held_in(folder, "window", met_again, shards, first)
+                hit[hit] = held_in(folder, "other", met_again, shards, second[hit])
+                at = at[hit]
                 piece = np.searchsorted(x.ends, at, "right")
-                roll = Rolling(x.text)
-                ends = (roll.of(length)[at], stirred(roll.of(length // 2)[at] + np.uint64(3) * roll.of(length - length // 2)[at + length // 2]))
-                kept.append(np.stack([*ends, x.key[piece, 0], x.key[piece, 1], (x.offset[piece] + at - x.starts[piece]).astype(np.uint64), x.times[piece].astype(np.uint64)], 1).astype("<u8"))
-                size += len(at)
-                if size > 1_000_000:
-                    yield out()
-        if kept:
-            yield out()
-
-    def count_windows(table: pa.Table) -> pa.Table:
-        w = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u8").reshape(6, -1).T for x in table.column("windows").to_pylist()])
-        w = w[np.lexsort((w[:, 1], w[:, 0]))]
-        first = np.concatenate([[True], (w[1:, :2] != w[:-1, :2]).any(1)])
-        times = np.add.reduceat(w[:, 5], np.flatnonzero(first))[np.cumsum(first) - 1]
-        w = w[times > 1]
-        rows = sent(np.stack([w[:, 2], w[:, 3], w[:, 4], w[:, 4] + np.uint64(length)], 1), shards)
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "intervals": pa.array([r[1] for r in rows], pa.binary())})
+                piece, lo, hi = covered(at, piece, length)
+                offset = x.offset[piece] - x.starts[piece]
+                rows.append(np.stack([x.key[piece, 0], x.key[piece, 1], (lo + offset).astype(np.uint64), (hi + offset).astype(np.uint64)], 1))
+            if rows and (found := sent(np.concatenate(rows), shards)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.binary())], names=["shard", "intervals"])
 
     def store_cuts(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
@@ -410,7 +427,9 @@ def find(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         return Cuts(folder, shards, frozenset())
     found = texts.mapInArrow(send_segments, SEGMENTS).groupBy("shard").applyInArrow(sort_shard, INTERVALS)
     if any(kind == "crowded" for kind, _ in held):
-        found = found.unionByName(texts.mapInArrow(send_windows, "shard int, windows binary").groupBy("shard").applyInArrow(count_windows, INTERVALS))
+        windows = texts.mapInArrow(count_windows, "shard int, packed binary").groupBy("shard").applyInArrow(store_windows, "kind string, shard int, again long").collect()
+        met_again = frozenset((r["kind"], r["shard"]) for r in windows if r["again"])
+        found = found.unionByName(texts.mapInArrow(mark_windows, INTERVALS))
     stored = found.groupBy("shard").applyInArrow(store_cuts, "shard int").collect()
     return Cuts(folder, shards, frozenset(("cut", r["shard"]) for r in stored))
 

@@ -11,6 +11,21 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow.fs
 import zstandard
+from pyspark.sql import DataFrame
+
+
+#: Bytes of input that a shard's arrays are made from.
+SHARD_INPUT = 4 << 20
+
+
+def shards_for(texts: DataFrame) -> int:
+    """Shards by the input's bytes as its plan counts them, a power of two: so a shard's memory doesn't grow with the input.
+
+    65,536 at most, which is 256 GB of input; beyond, shards grow.
+    """
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # what isn't known is given as next to infinite
+    return 1 << min(16, max(3, (max(texts.rdd.getNumPartitions(), size // SHARD_INPUT) - 1).bit_length()))
 
 
 def local(path: str) -> str | None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearbox.llm.common import remainder
-from nearbox.llm.shared_arrays import merged, opened, pack, put, unpacked
+from nearbox.llm.shared_arrays import merged, opened, pack, put, shards_for, unpacked
 from nearbox.session import new_shared_path, written
 
 #: No word can be this: it has white space.
@@ -238,7 +238,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     """texts: one column, text, of the training rows."""
     spark = texts.sparkSession
     if shards is None:
-        shards = 1 << min(12, max(3, (texts.rdd.getNumPartitions() - 1).bit_length()))
+        shards = shards_for(texts)
     folder = new_shared_path(spark, "lm")
 
     def count_words(batches):

@@ -1,14 +1,24 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns (assignments to a few well-known names, access key ids, long hex runs) are found in every text. On
-top of them the text is lexed into assignments, whatever the syntax around them (`name = literal`, `name: literal`,
-`"name": "literal"`, `name := literal`, `name => literal`, literals joined by +). Names that only repeat another name
-that is assigned in the text (`password = KEY`) hand their sensitivity on to the literal that the other name holds, so constants are propagated
-through any chain of copies. A literal is scored by the words of its name (db_password, clientSecret, auth-token) times
-how random it looks; placeholders, references to variables, paths and prose score 0.
+top of them a text is lexed into name-literal pairs, by families of syntax:
+
+* assignments of code and configuration: a name, an operator (= : := => +=) and an expression, whose terms are strings
+  (plain, triple, backticks, prefixed), bare words and names, joined by + . .. & or by standing side by side, over lines
+  where an operator or an open bracket says so; a type between name and value (`name: str = "x"`) is passed over;
+* YAML block scalars (`name: |` and the lines indented below);
+* XML elements (`<name>literal</name>`) and key-value attributes (`key="name" value="literal"`);
+* command lines (`--name literal`) and headers (`Authorization: Bearer literal`);
+* names and literals side by side as arguments (`set("name", "literal")`).
+
+Pairs are taken in the order of the text. A term that is a name stands for what that name holds there: its latest
+assignment before, or its first one after where there is none before. So constants are propagated through copies and
+joins, and a later value of the same name is not mistaken for the one that was copied. The joined value is scored by the
+words of its name (db_password, clientSecret, auth-token) times how random it looks; placeholders, references to
+variables, paths and prose score 0. A value that scores gives a span for each literal it is made of, of any length.
 
 Kinds, in the order used for spans that begin together: assign, access, hex (base), literal (a scored literal at its own
-name), constant (a literal that a sensitive name reaches through copies). Positions are code points, end exclusive.
+name), constant (a literal that a sensitive name reaches through other names). Positions are code points, end exclusive.
 
 Defined cases: a null text is empty and has no spans; rows are independent, so repeated rows repeat; other columns are
 kept by `redact` and ignored by `scan`.
@@ -20,6 +30,8 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +45,23 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-OPERATOR = re.compile(r"(?<![:=!<>+*/-])(?::=|=>|=|:)(?![:=/~])")
-NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"'\]]{0,2}[\x20\t]*$")
-QUOTED = re.compile(r"[\x20\t]*(?:[rRbBuUfF]{0,2}\"((?:[^\"\\\n]|\\.)++)\"|[rRbBuUfF]{0,2}'((?:[^'\\\n]|\\.)++)')")
-BARE = re.compile(r"[\x20\t]*([^\s,;\"'`(){}\[\]<>]+)")
+OPERATOR = re.compile(r"(?<![:=!<>*/%^|&-])(?::=|=>|\+=|=|:)(?![:=/~])")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+STRING = re.compile(
+    r"[rRbBuUfF]{0,2}(?:\"{3}((?:[^\"\\]|\\.|\"(?!\"\"))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`((?:[^`\\]|\\.)++)`)", re.DOTALL
+)
+BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
-JOIN = re.compile(r"[\x20\t]*\+")
+BLANK = re.compile(r"(?:[\x20\t]|\\\r?\n)*")
+BLANK_LINES = re.compile(r"\s*")
+JOIN = re.compile(r"(?:[\x20\t]|\\\r?\n)*(?:\r?\n[\x20\t]*)?(\+(?![+=])|\.{1,2}(?=\s*[\"'])|&(?!&))\s*")
+ANNOTATED = re.compile(r"[\x20\t]*=(?![=>~])")
+SCHEMES = frozenset({"bearer", "basic", "token"})
+BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[1-9]?[+-]?[\x20\t]*(?:#[^\n]*)?\r?\n")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*>")
+KEYED = re.compile(r"<[A-Za-z][^<>]*?\s(?:key|name)\s*=\s*[\"']([^\"'<>]+)[\"'][^<>]*?\svalue\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)')")
+OPTION = re.compile(r"(?<!\S)--?([A-Za-z][A-Za-z0-9_-]*)[\x20\t]+(?=[^\s-])")
+ARGUMENTS = re.compile(r"[\"']([A-Za-z_][A-Za-z0-9_.-]*)[\"'][\x20\t]*,[\x20\t]*(?=[rRbBuUfF]{0,2}[\"'`])")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 #: How sure a word of a name makes us that its literal is a secret.
@@ -50,6 +73,7 @@ SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secr
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|change_me|example|placeholder|dummy|none|null|true|false|todo|test(?:ing)?|your[_-].*|<.*>|\$\{?.*|%.*%|\{\{.*)$")
 
 
+@lru_cache(maxsize=1 << 16)
 def name_score(name: str) -> float:
     parts = [w.lower() for w in WORDS.findall(name)]
     best = max([SENSITIVE.get(w, 0.0) for w in parts], default=0.0)
@@ -76,62 +100,166 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def lexed(text: str) -> list[tuple[str, list[tuple[int, int, bool]], list[str]]]:
-    """Assignments in order: the name, the literals assigned to it (start, end, quoted), the names they copy."""
-    out = []
-    for op in OPERATOR.finditer(text):
-        name = NAME.search(text, max(0, op.start() - 80), op.start())
-        if not name:
-            continue
-        literals, copies, at = [], [], op.end()
-        while True:
-            if m := QUOTED.match(text, at):
-                literals.append((*m.span(1 if m[1] is not None else 2), True))
-            elif m := BARE.match(text, at):
-                if IDENTIFIER.fullmatch(text, *m.span(1)):
-                    copies.append(m[1])
-                literals.append((*m.span(1), False))
-            else:
-                break
+@dataclass(frozen=True)
+class Term:
+    """A term of a value: a literal at text[start:end], or a name that may stand for another value."""
+
+    start: int
+    end: int
+    quoted: bool
+
+
+@dataclass(frozen=True)
+class Pair:
+    """A name and the terms of the value that it gets at a place; more: they are added to what it holds."""
+
+    at: int
+    name: str
+    terms: tuple[Term, ...]
+    more: bool = False
+
+
+def name_before(text: str, end: int) -> str | None:
+    """The name that ends before an operator; quotes and a bracket may close it."""
+    k = end
+    while k and text[k - 1] in " \t":
+        k -= 1
+    for _ in range(2):
+        if k and text[k - 1] in "\"']":
+            k -= 1
+    stop = k
+    while k and text[k - 1] in NAME_CHARS:
+        k -= 1
+    while k < stop and not (text[k].isalpha() or text[k] == "_"):
+        k += 1
+    return text[k:stop] or None
+
+
+def value_at(text: str, at: int, run: list[int]) -> tuple[list[Term], int]:
+    """The terms of the expression that begins at a place, and where it ends.
+
+    run: the bare word read last; what begins inside it ends with it, so a long word full of operators is read once.
+    """
+
+    def bare(k: int) -> tuple[int, int] | None:
+        if not run[0] <= k < run[1]:
+            if not (m := BARE.match(text, k)):
+                return None
+            run[:] = m.span()
+        return k, run[1]
+
+    terms, depth = [], 0
+    while True:
+        at = (BLANK_LINES if depth or terms else BLANK).match(text, at).end()
+        while text.startswith(("(", "["), at):
+            depth, at = depth + 1, BLANK_LINES.match(text, at + 1).end()
+        if m := STRING.match(text, at):
+            terms.append(Term(*next(m.span(k) for k in range(1, 6) if m[k] is not None), True))
             at = m.end()
-            if not (j := JOIN.match(text, at)):
-                break
+        elif w := bare(at):
+            if not terms and w[1] - w[0] < 8 and text[w[0] : w[1]].lower() in SCHEMES and (n := bare(BLANK.match(text, w[1]).end())):
+                w = n
+            terms.append(Term(*w, False))
+            at = w[1]
+        else:
+            return terms, at
+        if j := JOIN.match(text, at):
             at = j.end()
-        if literals:
-            out.append((name[1], literals, copies))
-    return out
+            continue
+        # Strings side by side are one value, on one line or within brackets; so are a word and a string that touch.
+        ahead = (BLANK_LINES if depth else BLANK).match(text, at).end()
+        if STRING.match(text, ahead) and (terms[-1].quoted or ahead == at):
+            at = ahead
+            continue
+        return terms, at
+
+
+def block_below(text: str, op: int, at: int) -> list[Term]:
+    """The lines of a YAML block scalar whose key is on op's line; at: the start of the line below."""
+    line = text.rfind("\n", 0, op) + 1
+    indent = len(text[line:op]) - len(text[line:op].lstrip(" -"))
+    terms = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        row = text[at:end]
+        if row.strip():
+            first = at + len(row) - len(row.lstrip())
+            if first - at <= indent:
+                break
+            terms.append(Term(first, at + len(row.rstrip()), True))
+        at = end + 1
+    return terms
+
+
+def lexed(text: str) -> list[Pair]:
+    """The name-literal pairs of a text, in order."""
+    pairs, annotated, run = [], -1, [0, 0]
+    for op in OPERATOR.finditer(text):
+        if op.start() == annotated or not (name := name_before(text, op.start())):
+            continue
+        if op[0] == ":" and (m := BLOCK.match(text, op.end())):
+            pairs.append(Pair(op.start(), name, tuple(block_below(text, op.start(), m.end()))))
+            continue
+        terms, end = value_at(text, op.end(), run)
+        if op[0] == ":" and len(terms) == 1 and not terms[0].quoted and (m := ANNOTATED.match(text, end)):
+            annotated = m.end() - 1
+            terms, end = value_at(text, m.end(), run)
+        if terms:
+            pairs.append(Pair(op.start(), name, tuple(terms), op[0] == "+="))
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            if inner := m[2].strip():
+                first = m.start(2) + m[2].index(inner)
+                pairs.append(Pair(m.start(), m[1], (Term(first, first + len(inner), True),)))
+    if "value" in text and "<" in text:
+        pairs += [Pair(m.start(), m[1], (Term(*m.span(2 if m[2] is not None else 3), True),)) for m in KEYED.finditer(text)]
+    for pattern in [OPTION] * (" -" in text or text.startswith("-") or "\n-" in text) + [ARGUMENTS] * ("," in text):
+        for m in pattern.finditer(text):
+            if name_score(m[1]) > 0 and (terms := value_at(text, m.end(), run)[0]):
+                pairs.append(Pair(m.start(), m[1], tuple(terms)))
+    return sorted(pairs, key=lambda x: x.at)
 
 
 def method_spans(text: str, least: float = 0.5) -> list[tuple[int, int, int]]:
-    if "=" not in text and ":" not in text:
+    if not any(sign in text for sign in "=:<-,"):
+        return []
+    pairs = lexed(text)
+    if not any(name_score(x.name) > 0 for x in pairs):
         return []
-    assignments = lexed(text)
-    holds: dict[str, list[tuple[int, int, bool]]] = {}
-    copied: dict[str, set[str]] = {}
-    score: dict[str, float] = {}
-    assigned = {name for name, _, _ in assignments}
-    for name, literals, copies in assignments:
-        score[name] = name_score(name)
-        # A bare name is a copy only where that name is assigned; elsewhere it is a literal as any other.
-        names = assigned.intersection(copies)
-        holds.setdefault(name, []).extend(x for x in literals if x[2] or text[x[0] : x[1]] not in names)
-        copied.setdefault(name, set()).update(names)
+    later: dict[str, Pair] = {}
+    for x in reversed(pairs):
+        later[x.name] = x
+    held: dict[str, dict[Term, None]] = {}  # the literals that each name holds, in order
+    secret_at = {t for x in pairs if name_score(x.name) > 0 for t in x.terms}
+
+    def literals(terms: tuple[Term, ...], seen: tuple[str, ...]) -> dict[Term, None]:
+        out: dict[Term, None] = {}
+        for t in terms:
+            if t.quoted or not IDENTIFIER.fullmatch(text, t.start, t.end) or (word := text[t.start : t.end]) in seen:
+                out[t] = None
+            elif word in held:
+                out |= held[word]
+            elif word in later:
+                out |= literals(later[word].terms, (*seen, word))
+            else:
+                out[t] = None
+        return out
+
     found = set()
-    for name, own in score.items():
+    for x in pairs:
+        value = literals(x.terms, (x.name,))
+        if x.more:
+            held.setdefault(x.name, {}).update(value)
+        else:
+            held[x.name] = value
+        own = name_score(x.name)
         if own <= 0:
             continue
-        for s, e, quoted in holds[name]:
-            if own * literal_score(text[s:e], quoted) >= least:
-                found.add((s, 3, e))
-        seen, queue = {name}, [c for c in copied[name]]
-        while queue:
-            other = queue.pop()
-            if other in seen or other not in holds:
-                continue
-            seen.add(other)
-            queue += copied[other]
-            if score[other] <= 0:
-                found |= {(s, 4, e) for s, e, quoted in holds[other] if own * literal_score(text[s:e], quoted) >= least}
+        value = held[x.name]
+        whole = "".join(text[t.start : t.end] for t in value)
+        if own * literal_score(whole, any(t.quoted for t in value)) >= least:
+            found |= {(t.start, 3 if t in secret_at else 4, t.end) for t in value}
     return list(found)
 
 

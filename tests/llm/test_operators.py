@@ -78,6 +78,60 @@ def test_secret_literals_of_any_length():
     assert secrets.method_spans('auth_token = "never closed ' + "a1" * 5000) == []
 
 
+@pytest.mark.parametrize(
+    "text,literals,constants",
+    [
+        ('pwd = "qW3r" + "T7yU" + "9iO1"', ["qW3r", "T7yU", "9iO1"], []),
+        ('cfg["password"] = ("qW3r"\n   "T7yU9iO1")', ["qW3r", "T7yU9iO1"], []),
+        ("$pwd = 'qW3r' . 'T7yU9iO1';", ["qW3r", "T7yU9iO1"], []),
+        ("secret := `qW3rT7yU\n9iO1zZ`", ["qW3rT7yU\n9iO1zZ"], []),
+        ('password = """qW3rT7yU9iO1"""', ["qW3rT7yU9iO1"], []),
+        ('pwd: str = "qW3rT7yU9iO1"', ["qW3rT7yU9iO1"], []),
+        ('pwd = "qW3r"\npwd += "T7yU9iO1"', ["qW3r", "T7yU9iO1"], []),
+        ("db:\n  client_key_secret: |\n    qW3rT7yU9iO1\n    zZ8xC6vB4nM2\n  host: there", ["qW3rT7yU9iO1", "zZ8xC6vB4nM2"], []),
+        ('{"client": {"auth_token": "qW3rT7yU9iO1", "port": 80}}', ["qW3rT7yU9iO1"], []),
+        ("[db]\npassword=qW3rT7yU9iO1\nhost=there", ["qW3rT7yU9iO1"], []),
+        ("export DB_PASSWD=qW3rT7yU9iO1", ["qW3rT7yU9iO1"], []),
+        ("<db><password>\n qW3rT7yU9iO1 </password></db>", ["qW3rT7yU9iO1"], []),
+        ('<add key="DbPassword" value="qW3rT7yU9iO1"/>', ["qW3rT7yU9iO1"], []),
+        ("run --password qW3rT7yU9iO1 --user me", ["qW3rT7yU9iO1"], []),
+        ("Authorization: Bearer qW3rT7yU9iO1zz", ["qW3rT7yU9iO1zz"], []),
+        ('client.set("db_password", "qW3rT7yU9iO1")', ["qW3rT7yU9iO1"], []),
+        ('K = "A9b8C7d6E5f4"; pwd = K; K = "hello world greetings12"', [], ["A9b8C7d6E5f4"]),
+        ('K = "hello there"; K = "A9b8C7d6E5f4"\nL = K\npwd = L', [], ["A9b8C7d6E5f4"]),
+        ('pwd = PRE + "T7yU9iO1"\nPRE = "qW3r"', ["T7yU9iO1"], ["qW3r"]),
+        ("pwd = K\nK = pwd", [], []),
+        ("a = b\nb = a\nsecret = a", [], []),
+        ("token: see the chapter on keys\n- password required\na <b> c </b>", [], []),
+        ('secret = os.environ["X"]\npassword = input()', [], []),
+    ],
+)
+def test_secret_syntaxes(text, literals, constants):
+    got = sorted(secrets.method_spans(text))
+    assert [text[s:e] for s, k, e in got if k == 3] == literals
+    assert [text[s:e] for s, k, e in got if k == 4] == constants
+
+
+def test_secret_lexing_is_linear():
+    """Odd texts of a megabyte: no case takes more than some seconds."""
+    import time
+
+    for piece in ("a=(", "x += y\n", '"""', "<a>", "=`", "k: |\n ", " \t", "--password ", "a = b + b\nb = a + a\n", "'\\", '"pw",', "((", "a.b-c:"):
+        began = time.time()
+        secrets.spans_of(piece * (200_000 // len(piece)))
+        assert time.time() - began < 10, piece
+
+
+def test_secret_redaction(spark):
+    rows = [(1, 'pwd = "qW3r" + "T7yU9iO1" end', "x", 0), (1, 'pwd = "qW3r" + "T7yU9iO1" end', "y", 0), (None, "password=abcdefgh12345", "x", 0), (2, None, "x", 7), (3, "", "x", 7), (4, "nothing", "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+    got = secrets.redact(df)
+    assert got.schema == df.schema and secrets.redact(df.filter("false")).count() == 0
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(
+        [(1, 'pwd = "[SECRET]" + "[SECRET]" end', s, 33) for s in "xy"] + [(None, "[SECRET]", "x", 8), (2, None, "x", None), (3, "", "x", 0), (4, "nothing", "x", 7)]
+    )
+
+
 def test_secret_table(spark):
     got = secrets.scan(docs(spark, ROWS + [(9, "password=abcdefgh1")])).collect()
     assert len(got) == len(ROWS) + 1 and {r["doc_id"]: r["n_assign"] for r in got}[9] == 1

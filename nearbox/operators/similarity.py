@@ -70,12 +70,12 @@ def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
 
     An inverted index over distinct token sets with prefix filtering: a pair that reaches the threshold shares a token
     among the rarest few of either set, so only those are indexed and common tokens never meet. Rows with equal sets are
-    one set; their own pairs are added from the groups.
+    one set; pairs of rows come from joins with the sets' rows, so no set's rows are gathered.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
-    sets = df.select(key, F.sort_array(F.array_distinct("tokens")).alias("tokens")).groupBy("tokens").agg(F.sort_array(F.collect_list(key)).alias("members"))
-    sets = sets.withColumn("sid", F.xxhash64(F.col("tokens"))).withColumn("n", F.size("tokens"))
+    rows = df.select(key, F.sort_array(F.array_distinct("tokens")).alias("tokens")).withColumn("sid", F.xxhash64("tokens"))
+    sets = rows.groupBy("sid").agg(F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens"))
     exploded = sets.select("sid", "n", F.explode("tokens").alias("token"))
     frequency = exploded.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "token")
@@ -85,10 +85,11 @@ def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
         a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)))
         .select(F.col("a.sid").alias("s1"), F.col("b.sid").alias("s2")).distinct()
     )
-    one, two = sets.select(F.col("sid").alias("s1"), F.col("tokens").alias("t1"), F.col("members").alias("m1")), sets.select(F.col("sid").alias("s2"), F.col("tokens").alias("t2"), F.col("members").alias("m2"))
-    near = met.join(one, "s1").join(two, "s2").withColumn("jaccard", text.jaccard(F.col("t1"), F.col("t2"))).filter(F.col("jaccard") >= threshold)
-    across = near.select("jaccard", F.explode("m1").alias("x"), "m2").select("jaccard", "x", F.explode("m2").alias("y"))
-    within = sets.filter(F.size("members") > 1).select(F.lit(1.0).alias("jaccard"), F.explode("members").alias("x"), "members").select("jaccard", "x", F.explode("members").alias("y")).filter("x < y")
+    one, two = sets.select(F.col("sid").alias("s1"), F.col("tokens").alias("t1")), sets.select(F.col("sid").alias("s2"), F.col("tokens").alias("t2"))
+    near = met.join(one, "s1").join(two, "s2").withColumn("jaccard", text.jaccard(F.col("t1"), F.col("t2"))).filter(F.col("jaccard") >= threshold).select("s1", "s2", "jaccard")
+    x, y = rows.select(F.col("sid").alias("s1"), F.col(key).alias("x")), rows.select(F.col("sid").alias("s2"), F.col(key).alias("y"))
+    across = near.join(x, "s1").join(y, "s2").select("jaccard", "x", "y")
+    within = x.join(y, F.col("s1") == F.col("s2")).filter(F.col("x") < F.col("y")).select(F.lit(1.0).alias("jaccard"), "x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 

@@ -9,7 +9,8 @@ Three passes over the texts, none of which moves single tokens:
    word, what they add to its totals as a context and to the number of contexts it follows.
 3. Workers memory-map the arrays and score each batch's distinct pairs.
 
-The arrays lie in the session's shared folder. The model has order 2: with p(w) the continuation probability, discounted
+The arrays lie in the session's shared folder. Counts are exact at any size (a shard with a count beyond 32 bits stores 64),
+and a vocabulary whose pairs don't fit 64 bits (over four billion words) is refused. The model has order 2: with p(w) the continuation probability, discounted
 and interpolated with the uniform one over the known words and one unknown,
 p(w | u) = max(c(u,w) - D(c(u,w)), 0) / c(u) + gamma(u) p(w), with modified Kneser-Ney's three discounts at either level.
 
@@ -36,6 +37,8 @@ from nearbox.session import new_shared_path, written
 #: No word can be this: it has white space.
 END = xxhash.xxh64_intdigest(b"\n", 1)
 ROOM = 3_000_000
+#: Counts from here on are stored in 64 bits.
+NARROW = 1 << 32
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +101,7 @@ class Model:
     word_kinds: tuple[int, int, int] = (0, 0, 0)  #: words that follow 1, 2, 3 or more contexts
     pairs: int = 0
     held: frozenset[tuple[str, int]] = frozenset()  #: kinds of array and the shards that have one
+    wide: frozenset[tuple[str, int]] = frozenset()  #: those whose numbers take 64 bits where others take 32
 
     @property
     def begin(self) -> int:
@@ -113,14 +117,16 @@ class Model:
 
     @property
     def stir(self) -> Stir:
-        return Stir(max(16, (self.base**2).bit_length()))
+        if (bits := (self.base**2).bit_length()) > 64:
+            raise OverflowError(f"pairs of {self.base} words don't fit 64 bits")
+        return Stir(max(16, bits))
 
     def find(self, kind: str, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """For sorted keys, the place in its shard of each, or -1; and the shard."""
         shard = (keys >> np.uint64(bits - self.shards.bit_length() + 1)).astype(np.int64)
         bounds = np.searchsorted(shard, np.arange(self.shards + 1))
         place = np.full(len(keys), -1, np.int64)
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             lo, hi = bounds[s], bounds[s + 1]
             held = opened(f"{self.folder}/{kind}-{s}", "<u8") if lo < hi and (kind, s) in self.held else ()
             if len(held):
@@ -132,10 +138,10 @@ class Model:
         """Values at places, 0 where the place is -1; shard is in order."""
         out = np.zeros(len(place), np.int64)
         bounds = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             lo, hi = bounds[s], bounds[s + 1]
-            if lo < hi and (known := place[lo:hi] >= 0).any():
-                out[lo:hi][known] = opened(f"{self.folder}/{name}-{s}", dtype)[place[lo:hi][known]]
+            if (known := place[lo:hi] >= 0).any():
+                out[lo:hi][known] = opened(f"{self.folder}/{name}-{s}", "<u8" if (name, s) in self.wide else dtype)[place[lo:hi][known]]
         return out
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +160,9 @@ class Model:
         span = -(-(self.distinct + 1) // self.shards)
         shard = ids[known] // span
         bounds, rows = np.searchsorted(shard, np.arange(self.shards + 1)), np.flatnonzero(known)
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             lo, hi = bounds[s], bounds[s + 1]
-            if lo < hi and ("context", s) in self.held:
+            if ("context", s) in self.held:
                 table = opened(f"{self.folder}/context-{s}", "<u8").reshape(-1, 5)
                 out[rows[lo:hi]] = table[ids[known][lo:hi] - s * span]
         return out
@@ -284,7 +290,8 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
         keys, counts = unpacked(table.column("packed").to_pylist(), 1)
         counts = counts[:, 0]
         put(f"{folder}/pair-{s}", keys.astype("<u8").tobytes())
-        put(f"{folder}/pairs-{s}", np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
+        wide = counts.max(initial=0) >= NARROW
+        put(f"{folder}/pairs-{s}", counts.astype("<u8" if wide else "<u4").tobytes())
         pair = model.stir.back(keys)
         u, w = pair // np.uint64(model.base), pair % np.uint64(model.base)
         zero, one = np.zeros(len(keys), np.uint64), np.ones(len(keys), np.uint64)
@@ -293,7 +300,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
         ids, values = merged(np.concatenate([u, w]), np.concatenate([as_context, as_word]))
         bounds = np.searchsorted(ids, np.arange(shards + 1, dtype=np.uint64) * np.uint64(span))
         rows = [(t, pack(ids[bounds[t] : bounds[t + 1]], values[bounds[t] : bounds[t + 1]]), None) for t in range(shards) if bounds[t] < bounds[t + 1]]
-        rows.append((-1 - s, None, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]))
+        rows.append((-1 - s, None, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys), int(wide)]))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary()), "kinds": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
     parts = written(texts.mapInArrow(count_pairs, "shard int, packed binary").groupBy("shard").applyInArrow(store_pairs, "shard int, packed binary, kinds array<long>"), "lm-contexts")
@@ -314,6 +321,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     return Model(
         folder, shards, starts, model.total, model.distinct, discounts(kinds[:4].tolist()), discounts(words[:4].tolist()), (int(words[0]), int(words[1]), int(words[4])), int(kinds[4]),
         model.held | {("pair", -1 - r["shard"]) for r in of_pairs} | {("context", r["shard"]) for r in stored},
+        frozenset(("pairs", -1 - r["shard"]) for r in of_pairs if r["kinds"][5]),
     )
 
 

@@ -143,7 +143,18 @@ def test_secret_table(spark):
 # 2
 
 
-def test_language_model(spark):
+def plain_discounts(counts):
+    """Chen and Goodman's three discounts from a list of counts; where a count of counts is zero, a half of the count."""
+    n = [counts.count(k) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] * n[2] else None
+    raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[1] * n[2] and n[k] * n[k + 1] else k / 2 for k in (1, 2, 3)]
+    return [0] + [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
+
+
+@pytest.mark.parametrize("narrow", [1 << 32, 2])
+def test_language_model(spark, monkeypatch, narrow):
+    """narrow: counts that take 64 bits, here also small ones."""
+    monkeypatch.setattr(perplexity, "NARROW", narrow)
     got = sorted(perplexity.perplexity_result(docs(spark, ROWS + [(30 + i, PROSE(40, 50 + i)) for i in range(12)])).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"]))
     rows = sorted(ROWS + [(30 + i, PROSE(40, 50 + i)) for i in range(12)], key=lambda r: (r[0] is None, r[0], len((r[1] or "").split())))
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
@@ -156,7 +167,7 @@ def test_language_model(spark):
         total[u] += k
         kinds[u][min(k, 3) - 1] += 1
         follows[w] += 1
-    of = lambda x: (0, *perplexity.discounts([list(x.values()).count(k) for k in (1, 2, 3, 4)]))
+    of = lambda x: plain_discounts(list(x.values()))
     d, e = of(pairs), of(follows)
     gamma = sum(e[min(k, 3)] for k in follows.values()) / len(pairs)
     word = lambda w: max(follows[w] - e[min(follows[w], 3)], 0) / len(pairs) + gamma / (v + 1)
@@ -173,6 +184,15 @@ def test_language_model(spark):
     assert perplexity.perplexity_result(empty(spark)).count() == 0
 
 
+def test_pairs_beyond_64_bits_are_refused():
+    with pytest.raises(OverflowError):
+        perplexity.Model("", 8, (), 1, 1 << 32).stir
+    assert perplexity.Model("", 8, (), 1, (1 << 32) - 3).stir.bits == 64
+    for bits in (16, 45, 64):
+        x = np.random.default_rng(1).integers(0, 1 << min(bits, 63), 1000, np.uint64)
+        assert (perplexity.Stir(bits).back(perplexity.Stir(bits).of(x)) == x).all()
+
+
 def test_words_of_sliced_batches():
     b = pa.record_batch([pa.array([r[1] for r in ROWS])], names=["text"])
     got = []
@@ -719,16 +739,101 @@ def test_decontamination_equals_all_alignments(spark):
 # The pipeline
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+def plain_pipeline(rows, items, langs):
+    """(doc_id, text, lang, source) rows through the five stages by plain means: what run() must return, as a multiset of (doc_id, text, lang)."""
+    from nearbox.llm import resemblance
+
+    # Text without a letter is in no language; the test's other texts are all in a learned one.
+    kept = [(i, t, lang or langs[i, t], s) for i, t, lang, s in rows if t and any(map(str.isalpha, t))]
+    # Classes over five-word sets with a Jaccard similarity of 0.8; the first row of each stays, null ids last.
+    sets = [frozenset(resemblance.shingle_set(t, 5).tolist()) for _, t, _, _ in kept]
+    label = list(range(len(kept)))
+    for _ in kept:
+        for a, b in itertools.combinations(range(len(kept)), 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    order = lambda k: (kept[k][0] is None, kept[k][0] or 0)
+    first = {}
+    for k in sorted(range(len(kept)), key=order):
+        first.setdefault(label[k], k)
+    kept = [kept[k] for k in first.values()]
+    # No aligned run of 12 to 20 tokens of an item agrees to 80 %.
+    tok = lambda t: [w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()]
+
+    def leaks(t):
+        h = tok(t)
+        for b in map(tok, items):
+            if len(b) < 12:
+                if any(h[k : k + len(b)] == b for k in range(len(h))):
+                    return True
+                continue
+            for d in range(-len(b) + 1, len(h)):
+                same = [h[j + d] == w for j, w in enumerate(b) if 0 <= j + d < len(h)]
+                if any(5 * sum(same[k : k + n]) >= 4 * n for n in range(12, 21) for k in range(len(same) - n + 1)):
+                    return True
+        return False
+
+    kept = [r for r in kept if not leaks(r[1])]
+    # Secrets become marks.
+    kept = [(i, secrets.without(t, "[SECRET]"), lang, s) for i, t, lang, s in kept]
+    # The mix: plain_mix tells how many words of each row are taken.
+    taken = collections.Counter()
+    for (i, size, _, _, words), n in plain_mix([(i, t, s) for i, t, _, s in kept]).items():
+        taken[i, size] += n * (words // size if size else 0)
+    out = collections.Counter()
+    for i, t, lang, _ in kept:
+        out[i, t, lang] += taken[i, len(t.split())]
+    return +out
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
 
-    secret = PROSE(80, 31) + " password=abcdefgh12345 " + PROSE(20, 32)
+@pytest.fixture
+def pipeline_rows():
     item = PROSE(40, 77)
-    rows = [(i, PROSE(100, 200 + i), "xx", f"s{i % 2}", 0) for i in range(20)] + [(50, None, "xx", "s0", 0), (51, "12 34", "xx", "s1", 0), (52, PROSE(100, 203), "xx", "s0", 0), (53, PROSE(30, 8) + " " + item, "xx", "s1", 0), (54, secret, "xx", None, 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in got}
-    assert ids <= {*range(20), 54} and all("abcdefgh12345" not in r["text"] for r in got) and all(r["n_chars"] == len(r["text"]) for r in got if r["doc_id"] == 54)
-    counts = collections.Counter(r["doc_id"] for r in got)
-    assert max(counts.values()) <= 3
+    rows = [(i, PROSE(100, 200 + i), "xx", f"s{i % 2}") for i in range(20)]
+    rows += [(50, None, "xx", "s0"), (51, "12 34", "xx", "s1"), (52, PROSE(100, 203), "xx", "s0"), (53, PROSE(30, 8) + " " + item, "xx", "s1"), (54, PROSE(80, 31) + " password=abcdefgh12345 " + PROSE(20, 32), "xx", None)]
+    rows += [(55, " ".join(["new" if k == 50 else w for k, w in enumerate(PROSE(300, 90).split())]), "xx", "s1"), (56, PROSE(300, 90), "xx", "s1"), (57, PROSE(12000, 91), "xx", "s2"), (58, PROSE(60, 92), None, "s0"), (59, "", "xx", "s0")]
+    # Rows that share a doc_id: equal ones, and one of its own text; rows without one.
+    rows += [(7, PROSE(100, 207), "xx", "s1"), (7, PROSE(70, 93), "xx", "s1"), (7, PROSE(30, 94) + " " + item, "xx", "s1"), (None, PROSE(90, 95), "xx", "s0"), (None, PROSE(90, 95), "xx", "s0"), (None, PROSE(40, 96), "xx", None), (None, PROSE(100, 204), "xx", "s0")]
+    return rows, [item, "tiny little item"]
+
+
+def write_pipeline(spark, path, rows, items):
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], PIPELINE).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_equals_plain_means(spark, tmp_path, pipeline_rows):
+    import corpus_pipeline
+
+    rows, items = pipeline_rows
+    write_pipeline(spark, tmp_path, rows, items)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*[c.split()[0] for c in PIPELINE.split(", ")], "mix_pass", "mix_time"]
+    out = got.collect()
+    expected = plain_pipeline(rows, items, {(i, t): "xx" for i, t, lang, _ in rows if lang is None})
+    assert collections.Counter((r["doc_id"], r["text"], r["lang"]) for r in out) == expected
+    assert any("[SECRET]" in t for _, t, _ in expected) and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert {i for i, _, _ in expected} <= {r[0] for r in rows} - {50, 51, 52, 53, 56, 59} and any(i is None for i, _, _ in expected)
+
+
+def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, tmp_path, pipeline_rows):
+    """Extra columns, also with names the stages use themselves, pass through; an empty table stays empty."""
+    import corpus_pipeline
+
+    rows, items = pipeline_rows
+    write_pipeline(spark, tmp_path, [], items)
+    clash = "text_hash string, node long, row string, size int, h int, item long, __own int, label string"
+    docs = spark.createDataFrame([(*r, 0, "a", 1, "b", 2, 3, 4, 5, "c") for r in rows], f"{PIPELINE}, {clash}")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.filter("false"), str(tmp_path))
+        assert none.count() == 0, name
+        some = stage(spark, docs, str(tmp_path))
+        assert some.columns[: len(docs.columns)] == docs.columns and some.count() > 0, name
+        assert all(tuple(r)[5:13] == ("a", 1, "b", 2, 3, 4, 5, "c") for r in some.collect()), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert some.columns == docs.columns
+            docs = some
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

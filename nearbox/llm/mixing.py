@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearbox.llm.common import words
+from nearbox.llm.common import fresh, words
 from nearbox.session import written
 
 DEC = "decimal(38,0)"
@@ -107,18 +107,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with their pass (mix_pass) and virtual start time (mix_time).
 
     A row meets its plan by a hash of all its columns; rows that are alike in all of them are read once and stand for each.
+    Where docs has columns of these names, the new ones have underscores more.
     """
     names = [f"`{c}`" for c in docs.columns]
+    own, row, passes, start, size, target, nth, time = fresh(docs, "own", "row", "passes", "start", "source_size", "target", "mix_pass", "mix_time")
     whole = mix_plan(docs, **options)
-    plan = whole.filter(F.col("passes") > 0).select(F.col("row").alias("__row"), F.col("passes").alias("__passes"), F.col("start").alias("__start"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    plan = whole.filter(F.col("passes") > 0).select(F.col("row").alias(row), F.col("passes").alias(passes), F.col("start").alias(start), F.col("source_size").alias(size), F.col("target").alias(target))
     plan = written(plan, "mix-plan")
-    alike = whole.groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row")
-    keyed = docs.withColumn("__own", row_key(docs))
-    own = F.col("__own") == F.col("__row")
-    single = keyed.join(plan.join(alike, "__row", "left_anti"), own)
-    several = keyed.join(alike, own, "left_semi").dropDuplicates(["__own"]).join(plan.join(alike, "__row", "left_semi"), own)
-    out = single.unionByName(several).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))
-    return out.select(*names, "mix_pass", ((F.col("__start") + F.col("mix_pass") * F.col("__size")) / F.col("__target")).alias("mix_time"))
+    alike = whole.groupBy(F.col("row").alias(row)).count().filter("count > 1").select(row)
+    keyed = docs.withColumn(own, row_key(docs))
+    same = F.col(own) == F.col(row)
+    single = keyed.join(plan.join(alike, row, "left_anti"), same)
+    several = keyed.join(alike, same, "left_semi").dropDuplicates([own]).join(plan.join(alike, row, "left_semi"), same)
+    out = single.unionByName(several).withColumn(nth, F.explode(F.sequence(F.lit(0), F.col(passes) - 1)))
+    return out.select(*names, nth, ((F.col(start) + F.col(nth) * F.col(size)) / F.col(target)).alias(time))
 
 
 def mix_result(docs: DataFrame) -> DataFrame:

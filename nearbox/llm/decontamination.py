@@ -32,6 +32,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearbox.llm.common import fresh
+from nearbox.session import bounded, written
+
 MASKS = ("1101111", "111010011", "11100100011")
 
 
@@ -128,9 +131,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without overlaps, all columns; each row is judged by its own text."""
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__text")).distinct()
-    own = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__text"))
-    return docs.join(bad, own, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    doc, text = fresh(docs, "doc", "hash")
+    # Written, so that counting them for a broadcast doesn't find them twice; few as they are, no document is shuffled.
+    bad = written(matches(docs, benchmark, **options).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(bounded(bad), same, "left_anti")
 
 
 # By definition, not by masks: a run of 12 to 20 tokens that agrees to 80 % has three in a row that agree, so alignments

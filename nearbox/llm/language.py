@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearbox.llm.common import remainder
+from nearbox.llm.perplexity import slices
 
 WIDTH, PIECE, BATCH = 64, 1024, 2_000_000
 #: Codes: 0 ends a sample text, 1 is any letter that no sample has, 2 is a run of anything but letters; those from WIDTH on
@@ -51,8 +52,8 @@ class Model:
     samples: tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def suffix_automaton(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions as an array of states by WIDTH, -1 for none, and rows (state, code, to) for the other codes; state 0 is the start."""
+def suffix_automaton(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Transitions as rows (state, code, to), and the number of states; state 0 is the start."""
     link, length, edges, last = [-1], [0], [{}], 0
     for c in codes.tolist():
         cur = len(link)
@@ -77,14 +78,8 @@ def suffix_automaton(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table, rare = np.full((len(edges), WIDTH), -1, np.int32), []
-    for state, out in enumerate(edges):
-        for c, to in out.items():
-            if c < WIDTH:
-                table[state, c] = to
-            else:
-                rare.append((state, c, to))
-    return table, np.array(rare, np.int64).reshape(-1, 3)
+    rows = [(state, c, to) for state, out in enumerate(edges) for c, to in out.items()]
+    return np.array(rows, np.int32).reshape(-1, 3), len(edges)
 
 
 class Parser:
@@ -93,27 +88,30 @@ class Parser:
         for _, texts in model.samples:
             for t in texts:
                 counts.update(t.lower())
-        self.codes = np.array([OTHER if chr(c).isalpha() else GAP for c in range(0x110000)], np.int32)
+        self.codes = np.fromiter((OTHER if chr(c).isalpha() else GAP for c in range(0x110000)), np.int32, 0x110000)
         letters = [(c, n) for c, n in counts.items() if c.isalpha()]
         for n, (c, _) in enumerate(sorted(letters, key=lambda x: (-x[1], x[0]))):
             self.codes[ord(c)] = n + 3
-        self.size = max(WIDTH, len(letters) + 3)
+        self.size = len(letters) + 3
         self.plain = 8.0 if len(letters) <= 200 else 16.0  #: bits of a letter written out
         self.langs = [lang for lang, _ in model.samples]
         if not self.langs:
             return
-        tables, lists, self.roots, sizes, at = [], [], [], [], 0
+        self.width = min(WIDTH, self.size)
+        parts, self.roots, sizes, at = [], [], [], 0
         for _, texts in model.samples:
             sample = np.concatenate([x for t in texts for x in (self.encoded(t.lower()), np.array([SEPARATOR], np.int32))])
-            table, rare = suffix_automaton(sample)
-            lists.append(rare + np.array([at, 0, at]))
-            tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
+            rows, states = suffix_automaton(sample)
+            parts.append(rows.astype(np.int64) + np.array([at, 0, at]))
             self.roots.append(at)
             sizes.append(max(2, len(sample)))
-            at += len(table)
-        self.table = np.concatenate(tables).ravel()
+            at += states
+        rows = np.concatenate(parts)
         self.roots = np.array(self.roots, np.int64)
-        rare = np.concatenate(lists)
+        dense = rows[:, 1] < self.width
+        self.table = np.full(at * self.width, -1, np.int32)
+        self.table[rows[dense, 0] * self.width + rows[dense, 1]] = rows[dense, 2]
+        rare = rows[~dense]
         keys = rare[:, 0] * self.size + rare[:, 1]
         order = np.argsort(keys)
         #: The sparse transitions, closed by a key that no state has.
@@ -125,8 +123,8 @@ class Parser:
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Where codes lead from states (languages by codes), -1 for nowhere."""
-        to = self.table[state * np.int64(WIDTH) + np.minimum(c, WIDTH - 1)]
-        rare = np.flatnonzero(c >= WIDTH) if len(self.keys) > 1 else ()
+        to = self.table[state * np.int64(self.width) + np.minimum(c, self.width - 1)]
+        rare = np.flatnonzero(c >= self.width) if len(self.keys) > 1 else ()
         if len(rare):
             wanted = state[:, rare] * np.int64(self.size) + c[rare]
             at = np.searchsorted(self.keys, wanted)
@@ -247,7 +245,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model)
-        for b in batches:
+        for b in slices(batches, 2, BATCH):
             langs, scores = p.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -261,7 +259,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model)
-        for b in batches:
+        for b in slices(batches, at, BATCH):
             found, _, reads = p.judged(b.column(at).to_pylist())
             if "lang" in names and model.samples:
                 k = names.index("lang")

@@ -399,10 +399,10 @@ SCORED = f"scored AS (SELECT query_id, f.id, {SIMILARITY_SQL} AS similarity FROM
 
 
 class Flagship:
-    """The movie table, its middle box and its query rows, read once."""
+    """The movie table, its middle box and its query rows. The table is a join and is read several times, so it is written once."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.movies = similarity.with_tokens(views.movies(spark, d), "companies", True)
+        self.movies = written(similarity.with_tokens(views.movies(spark, d), "companies", True), "movies")
         box = stats.percentile_box(self.movies, MOVIE_DIMS).first()
         self.lo, self.hi = [box[f"lo_{x}"] for x in MOVIE_DIMS], [box[f"hi_{x}"] for x in MOVIE_DIMS]
         self.inside = self.movies.filter(vectors.in_box(MOVIE_DIMS, self.lo, self.hi))

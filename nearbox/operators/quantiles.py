@@ -95,29 +95,32 @@ def above(df: DataFrame, c: str) -> int:
     return df.agg(F.count_if(F.col(c).cast("double") == float("inf"))).first()[0]
 
 
+def inside(df: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """k, v: the values in each range, by its number."""
+    columns = list(dict.fromkeys(c for c, _, _ in ranges))
+    numbers = df.select(*[number(c).alias(f"n{k}") for k, c in enumerate(columns)])
+    at = {c: F.col(f"n{k}") for k, c in enumerate(columns)}
+    # Only plain expressions, which are compiled: a value outside its range becomes null and goes.
+    parts = [F.struct(F.lit(k).alias("k"), F.when(at[c].between(lo, hi), at[c]).alias("v")) for k, (c, lo, hi) in enumerate(ranges)]
+    return numbers.select(F.explode(F.array(*parts)).alias("x")).select("x.k", "x.v").filter("v is not null")
+
+
 def values_in(df: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> dict[tuple, list[tuple[float, float, int]]]:
     """For each range its values in order, twice, and their rows; the ranges hold few rows."""
-    parts = F.array(*[F.when(number(c).between(lo, hi), F.struct(F.lit(k).alias("k"), number(c).alias("v"))) for k, (c, lo, hi) in enumerate(ranges)])
-    inside = df.filter(reduce(or_, [number(c).between(lo, hi) for c, lo, hi in ranges])).select(F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x"))
+    some = df.filter(reduce(or_, [number(c).between(lo, hi) for c, lo, hi in ranges]))
     out: dict[tuple, list] = {r: [] for r in ranges}
-    for r in sorted(inside.select("x.k", "x.v").groupBy("k", "v").count().collect(), key=lambda r: (r["k"], r["v"])):
+    for r in sorted(inside(some, ranges).groupBy("k", "v").count().collect(), key=lambda r: (r["k"], r["v"])):
         out[ranges[r["k"]]].append((r["v"], r["v"], r["count"]))
     return out
 
 
 def binned(df: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> dict[tuple, list[tuple[float, float, int]]]:
     """For each range its bins in order: least and greatest value and rows."""
-    parts = F.array(
-        *[
-            F.when(
-                number(c).between(lo, hi),
-                F.struct(F.lit(k).alias("k"), F.least(F.floor((number(c) / BINS - lo / BINS) / max((hi / BINS - lo / BINS) / BINS, 5e-324)), F.lit(BINS - 1)).cast("int").alias("bin"), number(c).alias("v")),
-            )
-            for k, (c, lo, hi) in enumerate(ranges)
-        ]
-    )
-    rows = df.select(F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x")).select("x.*").groupBy("k", "bin").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).collect()
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
+    low = of([lo / BINS for _, lo, _ in ranges])
+    width = of([max((hi / BINS - lo / BINS) / BINS, 5e-324) for _, lo, hi in ranges])
+    placed = inside(df, ranges).withColumn("bin", F.least(F.floor((F.col("v") / BINS - low) / width), F.lit(BINS - 1)).cast("int"))
     out: dict[tuple, list] = {r: [] for r in ranges}
-    for r in sorted(rows, key=lambda r: (r["k"], r["bin"])):
+    for r in sorted(placed.groupBy("k", "bin").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).collect(), key=lambda r: (r["k"], r["bin"])):
         out[ranges[r["k"]]].append((r["a"], r["b"], r["n"]))
     return out

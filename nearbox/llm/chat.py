@@ -6,9 +6,10 @@ XOR of two such 64-bit hashes names the prefix that ends there (positions are pa
 conversation whose whole hash is another's proper-prefix hash is dropped by an anti-join; of equal conversations the
 smallest conv_id stays. What is left is rendered.
 
-Nothing gathers a whole conversation in one task: turns are numbered and hashed in chunks by turn number, the chunks'
-counts and hashes are summed up in a window with a row per chunk, and the rendered text comes in segments of
-`segment` turns, which read in order are the transcript.
+Nothing gathers a whole conversation in one task, whatever its turn numbers: all turns are sorted in range partitions, a
+turn's position is its place in its partition after the partitions before; hashes are summed up in chunks of CHUNK
+positions, the chunks in a window with a row per chunk, and the rendered text comes in segments of `segment` turns,
+which read in order are the transcript.
 
 Defined cases: turns go in order of (turn, role, text), nulls first; identical rows of a conversation count once; a
 null role or text counts as empty, a null conv_id is a conversation of its own; no turns, no rows. Other columns of the
@@ -34,18 +35,25 @@ def prefixes(turns: DataFrame) -> DataFrame:
     t = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).distinct()
-    t = t.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
-    t = t.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")))
-    t = written(t, "chat-turns")
-
+    order = ("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    t = written(t.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "chat-turns")
+    # The upper bits of the number are the partition, the lower ones the place in it; a row per partition goes to the driver.
+    t = t.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND((1 << 33) - 1))
+    before, rows = [], 0
+    for part, n in sorted((r["part"], r["count"]) for r in t.groupBy("part").count().collect()):
+        before.append((part, rows))
+        rows += n
+    offsets = t.sparkSession.createDataFrame(before, "part long, offset long")
+    t = t.join(F.broadcast(offsets), "part").withColumn("nth", F.col("offset") + F.col("place")).select("conv_id", "turn", "role", "text", "part", "nth")
+    # By conversation and partition, so that a conversation of very many turns is spread as its rows are.
+    whole = Window.partitionBy("conv_id")
+    parts = t.groupBy("conv_id", "part").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    parts = parts.select("conv_id", "part", F.min("first").over(whole).alias("start"), F.sum("n").over(whole).alias("n_turns"))
+    same_part = F.col("t.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("t.part") == F.col("c.part"))
+    t = t.alias("t").join(parts.alias("c"), same_part).select("t.conv_id", "turn", "role", "text", "n_turns", (F.col("nth") - F.col("start") + 1).alias("pos"))
+    t = t.withColumn("chunk", F.floor((F.col("pos") - 1) / CHUNK))
     by_chunk = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        t.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(by_chunk), F.lit(0)))
-        .withColumn("n_turns", F.sum("n").over(Window.partitionBy("conv_id")))
-    )
     same_chunk = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.chunk") == F.col(f"{b}.chunk"))
-    t = t.alias("t").join(counts.alias("c"), same_chunk("t", "c")).select("t.*", "n_turns", (F.col("before") + F.col("nth")).alias("pos"))
     t = t.withColumn("h1", F.xxhash64(F.lit(1), "pos", "role", "text")).withColumn("h2", F.xxhash64(F.lit(2), "text", "role", "pos"))
     inside = Window.partitionBy("conv_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("x1", F.bit_xor("h1").over(inside)).withColumn("x2", F.bit_xor("h2").over(inside))

@@ -246,6 +246,16 @@ def test_chat_collapse(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("turn", [None, 7])
+def test_chat_of_one_turn_number(spark, turn):
+    """Many turns of one number, or of none, and a very long one: in order of role and text, in segments."""
+    rows = [(1, turn, "user", f"t{k:04}") for k in range(700)] + [(1, turn, "user", "t0005"), (1, 9, "user", "x" * 200_000), (2, turn, "user", "t0000"), (None, turn, None, None)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    assert {(r["conv_id"], r["segment"], r["n_turns"]) for r in got} == {(1, 0, 701), (1, 1, 701), (1, 2, 701), (None, 0, 1)}
+    text = "".join(r["text"] for r in sorted(got, key=lambda r: r["segment"]) if r["conv_id"] == 1)
+    assert text == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in [*(f"t{k:04}" for k in range(700)), "x" * 200_000])
+
+
 # 5
 
 

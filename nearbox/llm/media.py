@@ -114,13 +114,25 @@ class Demuxed:
 
 
 def read_section(rows: np.ndarray, offsets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> tuple[bytes, int]:
-    """The body of the first good section with this packet id and table, and how many bad ones came before."""
+    """The body of the first good section with this packet id and table, and how many bad ones came before.
+
+    A section may go over any number of packets; where the next one begins, it ends with the bytes before the pointer.
+    """
     bad = 0
-    for k in np.flatnonzero((pid == wanted) & (rows[:, 1] & 0x40 > 0)):
-        data = rows[k, offsets[k] :].tobytes()
+    own = np.flatnonzero((pid == wanted) & (offsets < PACKET))
+    starting = rows[own, 1] & 0x40 > 0
+    for n in np.flatnonzero(starting):
+        data = rows[own[n], offsets[own[n]] :].tobytes()
         data = data[1 + data[0] :]
+        for m in range(n + 1, len(own)):
+            if len(data) >= 3 and len(data) >= 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF):
+                break
+            more = rows[own[m], offsets[own[m]] :].tobytes()
+            data += more[1 : 1 + more[0]] if starting[m] else more
+            if starting[m]:
+                break
         whole = data[: 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)]
-        if whole and whole[0] == table_id and crc32_mpeg(whole) == 0:
+        if len(whole) >= 12 and whole[0] == table_id and crc32_mpeg(whole) == 0:
             return whole[8:-4], bad
         bad += 1
     return b"", bad

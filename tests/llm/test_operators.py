@@ -214,6 +214,53 @@ def test_transport_stream_round_trip(n):
     assert d.pts == [k * 3600 for k in range(-(-len(payload) // 3072))] and d.random_access == d.pts[::8] and d.continuity_errors == d.bad_sections == 0
 
 
+@pytest.mark.parametrize("n", [0, 191, 3073, 3072 * 9 + 100])
+def test_transport_stream_by_the_standard(n):
+    """The stream read packet by packet, field by field, with nothing of the module."""
+    payload = media.padded("".join(random.Random(n).choices("ab é\n", k=n)))[1]
+    stream, out, pcrs, stamps, counters = media.mux(payload), [], [], [], []
+    assert stream[:21] == bytes.fromhex("47400010 00 00b00d0001c100000001f0002ab104b2")  # the well-known table of one program at 0x1000
+    pes = b""
+    for at in range(376, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47 and (p[1] & 0x1F) << 8 | p[2] == 0x100 and not p[1] & 0x80
+        counters.append(p[3] & 15)
+        data = p[4:]
+        if p[3] & 0x20:
+            field, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if field and field[0] & 0x10:
+                clock = int.from_bytes(field[1:7], "big")
+                pcrs.append((clock >> 15, clock >> 9 & 0x3F, clock & 0x1FF, bool(field[0] & 0x40)))
+        if p[1] & 0x40:
+            out.append(pes)
+            pes = b""
+        pes += data
+    out = [*out[1:], pes]
+    body = b""
+    for pes in out:
+        assert pes[:4] == b"\0\0\1\xbd" and int.from_bytes(pes[4:6], "big") == len(pes) - 6 and pes[7] == 0x80 and pes[8] == 5
+        bits = int.from_bytes(pes[9:14], "big")
+        assert bits >> 36 == 2 and bits & 1 and bits >> 16 & 1 and bits >> 32 & 1
+        stamps.append((bits >> 33 & 7) << 30 | (bits >> 17 & 0x7FFF) << 15 | bits >> 1 & 0x7FFF)
+        body += pes[14:]
+    assert body == payload and stamps == [3600 * k for k in range(len(out))] and counters == [k % 16 for k in range(len(counters))]
+    assert pcrs == [(t, 0x3F, 0, True) for t in stamps[::8]]
+
+
+def test_sections_over_several_packets():
+    """A program map of a hundred streams takes three packets; a section that lacks its end is a bad one."""
+    body = (0xE100).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([6]) + (0xE000 | 0x100 + k).to_bytes(2, "big") + b"\xf0\x00" for k in range(100))
+    section = b"\0" + media.section(2, 1, body)
+    packets = b""
+    for k in range(0, len(section), 184):
+        packets += bytes([0x47, 0x50 if k == 0 else 0x10, 0x00, 0x10 | k // 184]) + section[k : k + 184].ljust(184, b"\xff")
+    stream = media.mux(b"x" * 192 * 40)
+    d = media.demux(stream[:188] + packets + stream[376:])
+    assert d.payload == b"x" * 192 * 40 and (d.pid, d.stream_type, d.bad_sections) == (0x100, 6, 0) and len(packets) == 3 * 188
+    cut = media.demux(stream[:188] + packets[:376] + stream[188:])
+    assert cut.payload == b"x" * 192 * 40 and cut.bad_sections == 1
+
+
 def test_transport_stream_damage():
     m = media.mux(media.padded("x" * 9000)[1])
     assert media.demux(m[: 188 * 5] + m[188 * 6 :]).continuity_errors == 1

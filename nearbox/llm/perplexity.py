@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearbox.llm.common import remainder
-from nearbox.llm.shared_arrays import merged, opened, pack, put, shards_for, unpacked
+from nearbox.llm.shared_arrays import forget, merged, opened, pack, put, shards_for, unpacked
 from nearbox.session import new_shared_path, written
 
 #: No word can be this: it has white space.
 END = xxhash.xxh64_intdigest(b"\n", 1)
-ROOM = 3_000_000
+ROOM = 2_000_000
 #: Counts from here on are stored in 64 bits.
 NARROW = 1 << 32
 
@@ -231,7 +231,7 @@ class Gathered:
         return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches of about `most` bytes of text."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
@@ -248,6 +248,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     folder = new_shared_path(spark, "lm")
 
     def count_words(batches):
+        forget(folder)
         g = Gathered()
         for b in slices(batches, 0):
             hashes, index, _ = coded(b.column(0))
@@ -286,6 +287,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     span = -(-(model.distinct + 1) // shards)
 
     def store_pairs(table: pa.Table) -> pa.Table:
+        forget(folder)
         s = table.column("shard")[0].as_py()
         keys, counts = unpacked(table.column("packed").to_pylist(), 1)
         counts = counts[:, 0]

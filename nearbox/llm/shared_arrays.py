@@ -65,13 +65,17 @@ def mapped(path: str, dtype) -> np.ndarray:
 OPEN: dict[tuple[str, str], np.ndarray] = {}
 
 
+def forget(folder: str) -> None:
+    """Let go of the arrays of all folders but this; workers outlive a query, and what they have mapped counts as theirs."""
+    for key in [k for k in OPEN if k[0].rsplit("/", 1)[0] != folder]:
+        with contextlib.suppress(KeyError):
+            del OPEN[key]
+
+
 def opened(path: str, dtype: str) -> np.ndarray:
     """mapped(), once for each process; arrays of other models are let go."""
     if (path, dtype) not in OPEN:
-        folder = path.rsplit("/", 1)[0]
-        for key in [k for k in OPEN if k[0].rsplit("/", 1)[0] != folder]:
-            with contextlib.suppress(KeyError):
-                del OPEN[key]
+        forget(path.rsplit("/", 1)[0])
         OPEN[path, dtype] = mapped(path, dtype)
     return OPEN[path, dtype]
 

@@ -16,8 +16,9 @@ root of their number, mapped by the inverse root of the landmarks' kernel matrix
 hinge loss judges it. Its decisions on texts that it was not fitted to (folds of the sample), together with the number of
 words, are calibrated to probabilities. As the machine is linear, scoring needs one number a word.
 
-The labelled sample is bounded: `per_class` documents of each class (those with the least hashes of doc_id), and at most
-`most` landmarks; both are parameters of `train`. Every text is scored whole.
+The labelled sample is bounded: `per_class` documents of each class (those with the least hashes of doc_id) of `chars`
+characters together, whole texts each, and at most `most` landmarks; all are parameters of `train`. Every text is scored
+whole.
 
 Defined cases: null and empty texts have no words and get the score of a text without evidence; a document with several
 labels is toxic if one says so; without labelled texts of both classes every score is 0; repeated rows repeat; other
@@ -45,6 +46,7 @@ FRAGMENTS = range(4, WIDTH + 1)
 RISK, RESIDUAL, COST = 0.01, 0.5, 10.0
 THRESHOLD = 0.7
 FOLDS = 5
+PARTS = 8
 #: Windows whose values are held at a time.
 SLICE = 1 << 14
 #: Symbols: not a letter, the start of a word, a letter that no landmark holds; the landmarks' letters follow.
@@ -244,18 +246,20 @@ def fragments(names: list[str], owner: np.ndarray, index: np.ndarray, toxic: np.
             for k in range(m):
                 h = (h ^ p[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            keys, first, of = np.unique(h, return_index=True, return_inverse=True)
-            many = ends[word[at] + 1] - ends[word[at]]
-            which = np.repeat(of, many)
-            run = np.repeat(ends[word[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            both = np.unique(which * n + texts_of[run])
-            total = np.bincount(both // n, minlength=len(keys))
-            bad = np.bincount(both // n, toxic[both % n], len(keys))
-            tested += int((total > 1).sum())
-            share = n1 / n
-            z = (np.abs(bad - total * share) - 0.5) / np.sqrt(np.maximum(total * share * (1 - share) * (n - total) / max(n - 1, 1), 1e-9))
-            for k in np.flatnonzero((z > 4) & (total > 3)):
-                found.append(("".join(map(chr, p[at[first[k]] : at[first[k]] + m])), float(z[k])))
+            for part in range(PARTS):  # by hash, so that a part's occurrences fit the driver's memory
+                own = at[h % np.uint64(PARTS) == part]
+                keys, first, of = np.unique(h[h % np.uint64(PARTS) == part], return_index=True, return_inverse=True)
+                many = ends[word[own] + 1] - ends[word[own]]
+                run = np.repeat(ends[word[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                both = np.unique(np.repeat(of, many) * n + texts_of[run])
+                del run
+                total = np.bincount(both // n, minlength=len(keys))
+                bad = np.bincount(both // n, toxic[both % n], len(keys))
+                tested += int((total > 1).sum())
+                share = n1 / n
+                z = (np.abs(bad - total * share) - 0.5) / np.sqrt(np.maximum(total * share * (1 - share) * (n - total) / max(n - 1, 1), 1e-9))
+                for k in np.flatnonzero((z > 4) & (total > 3)):
+                    found.append(("".join(map(chr, p[own[first[k]] : own[first[k]] + m])), float(z[k])))
     level = np.sqrt(2 * np.log(max(tested, 1) / risk))  # a bound on the normal quantile at risk / tested
     return {f: z for f, z in found if z > level}
 
@@ -363,7 +367,7 @@ def fit(texts: list[str], toxic: np.ndarray, totals: tuple[int, int], most: int
     return Model(landmarks, tuple((root @ (w[:-1] / spread)).tolist()), tuple(calibration.tolist()), True)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most: int = 256) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most: int = 256, chars: int = 16_000_000) -> Model:
     """Learns from the labelled rows whose crc32 remainder by 3 isn't 1; the sample is per_class documents a class."""
     own = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null").filter(remainder(F.col("id"), 3) != 1)
@@ -377,7 +381,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most: int =
     few = own.withColumn("h", h).filter(F.col("h") <= rate)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "id"))).filter(F.col("n") <= per_class)
     # At most 2 * per_class rows are broadcast, so no text but theirs is moved.
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id", "toxic", "h").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("upto", upto - F.coalesce(F.length("text"), F.lit(0))).filter(F.col("upto") < chars).orderBy("id").select("toxic", "text").collect()
     return fit([r["text"] or "" for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), (totals[0], totals[1]), most)
 
 

@@ -34,10 +34,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from nearbox.llm.perplexity import slices
+
+#: Bytes of text that a worker has in hand at a time.
+BATCH = 2_000_000
 KINDS = ("assign", "access", "hex", "literal", "constant")
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -295,13 +299,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span in text replaced by mark; overlapping spans become one mark. n_chars, if there, is counted anew."""
+    names = docs.columns
+    at = names.index("text")
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(texts):
-        return texts.map(lambda t: None if t is None else without(t, mark))
-
-    out = docs.withColumn("text", cleaned("text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at, BATCH):
+            texts = pa.array([None if t is None else without(t, mark) for t in b.column(at).to_pylist()], pa.string())
+            out = b.set_column(at, b.schema.field(at), texts.cast(b.schema.field(at).type))
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                out = out.set_column(k, b.schema.field(k), pc.utf8_length(texts).cast(b.schema.field(k).type))
+            yield out
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without(text: str, mark: str) -> str:

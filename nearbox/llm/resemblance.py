@@ -1,4 +1,6 @@
-"""Near-duplicates by verified resemblance: the SimHash operator's byte-position index, with minwise bytes as fingerprint.
+"""Near-duplicates by verified resemblance, an operator beside SimHash: its byte-position index, with minwise bytes as fingerprint.
+
+The pipeline does not use it: its stage is the SimHash operator (simhash.py).
 
 Two texts are near-duplicates if the sets of their word shingles (five words, lower-cased A-Z) have a Jaccard similarity of
 at least 0.8. A 64-bit SimHash can't decide that: such texts differ in about ten bits, as do many unrelated ones. So the
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearbox.llm.common import fresh
+from nearbox.llm.common import rows_named
 from nearbox.llm.components import connected_components
 from nearbox.llm.perplexity import slices
 from nearbox.llm.simhash import by_fingerprint, shingle_hashes
@@ -326,12 +328,4 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, list_lim
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, list_limit: int = 32) -> DataFrame:
     """The first document of each class (least doc_id, nulls last), all columns."""
     _, found = nodes_of(docs, shingle, similarity, list_limit)
-    # Two hashes of doc_id and text name a row: 96 bits, and equality on them is all that the join and the last step need,
-    # so texts are shuffled once.
-    named = lambda doc, text: (F.xxhash64(F.coalesce(doc, F.lit(0)), doc.isNull(), text), F.hash(text, doc.isNull(), F.coalesce(doc, F.lit(0))))
-    first, second, one, two = fresh(docs, "first", "second", "one", "two")
-    a, b = named(F.col("first.doc_id"), F.col("first.hash"))
-    kept = found.select(a.alias(one), b.alias(two)).distinct()
-    a, b = named(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    own = docs.withColumns({first: a, second: b})
-    return own.join(kept, (F.col(first) == F.col(one)) & (F.col(second) == F.col(two)), "left_semi").dropDuplicates([first, second]).drop(first, second)
+    return rows_named(docs, found.select("first.doc_id", "first.hash"))

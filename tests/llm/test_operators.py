@@ -534,6 +534,63 @@ def test_classes_of_very_many_rows(spark):
     assert len(got) == 1105 and all(got[i] == 0 for i in range(1100)) and got[2001] == 0 and got[2002] == 2002
 
 
+def three_bits(n, seed):
+    """Fingerprints in crowds: chains, far ones, and pairs exactly three and four bits apart."""
+    rng, out = random.Random(seed), set()
+    for base in [rng.getrandbits(64) for _ in range(4)]:
+        for _ in range(n):
+            x = rng.choice(sorted(out)[-n:] or [base]) if rng.random() < 0.5 else base
+            for p in rng.sample(range(64), rng.choice([1, 2, 3, 3, 4, 5, 7])):
+                x ^= 1 << p
+            out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [64, 5, 1])
+def test_links_up_to_three_bits(spark, limit):
+    """The same classes as all pairs, whether lists are short, are taken apart by five bytes, or linked by keys."""
+    assert not set(simhash.QUADS) & set(simhash.MORE) and simhash.position_sets(3)[1] == 2 and simhash.position_sets(2) == (simhash.QUADS, 3)
+    fps = three_bits(60, limit)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), limit, 3).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in found)
+
+    def classes(pairs):
+        label = {x: x for x in fps}
+        for a, b in pairs:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {x: new if v == old else v for x, v in label.items()}
+        return label
+
+    expected = classes((a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3)
+    assert classes(found) == expected and 4 < len(set(expected.values())) < len(fps)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([], "fp long"), bits=4)
+
+
+def test_keep_one_tells_rows_by_text(spark):
+    """Rows without a doc_id, and texts of their own under a doc_id that repeats, stay; before, both went."""
+    rows = [(1, PROSE(50, 1)), (None, PROSE(50, 1)), (None, PROSE(50, 2)), (None, PROSE(50, 2)), (3, PROSE(50, 3)), (3, PROSE(50, 4)), (2, PROSE(50, 4))]
+    kept = simhash.keep_one(docs(spark, rows), bits=3)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, PROSE(50, 1)), (None, PROSE(50, 2)), (3, PROSE(50, 3)), (2, PROSE(50, 4))], key=str)
+
+
+def test_near_duplicate_stage_is_simhash(spark):
+    """The pipeline's stage keeps the first of each class of SimHash fingerprints, found by comparing all pairs."""
+    import corpus_pipeline
+
+    base = PROSE(300, 9).split()
+    rows = [(100 + k, " ".join([*base[:k], "new", *base[k + 1 :]])) for k in range(0, 200, 5)] + [(500 + k, PROSE(40, k)) for k in range(20)]
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    label = {i: i for i in fps}
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.NEAR_BITS:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {i: new if v == old else v for i, v in label.items()}
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "").collect()]
+    assert sorted(got) == sorted(set(label.values())) and 20 < len(got) < len(rows)
+
+
 def test_simhash_bits():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
     assert simhash.fingerprint("A b") == simhash.fingerprint("a\tB ") == simhash.xxhash.xxh64_intdigest(b"a b", 42)

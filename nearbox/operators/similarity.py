@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearbox.functions import minhash, text, vectors
-from nearbox.session import bounded, written
+from nearbox.session import bounded, discard, written
 
 NUM_PERM, THRESHOLD = 128, 0.5
 
@@ -65,12 +66,15 @@ def ranked(df: DataFrame, queries: DataFrame, key: str, top_n: int, keep_self: b
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select("query_id", key, "similarity", "rank")
 
 
-def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
+def jaccard_pairs(df: DataFrame, key: str, threshold: float, dense: float = 1 / 400, block: int = 8192) -> DataFrame:
     """a, b (a < b), jaccard of all pairs at or above a threshold over 0, exactly.
 
     An inverted index over distinct token sets with prefix filtering: a pair that reaches the threshold shares a token
     among the rarest few of either set, so only those are indexed and common tokens never meet. Rows with equal sets are
     one set; pairs of rows come from joins with the sets' rows, so no set's rows are gathered.
+
+    At low thresholds nearly all tokens are such prefixes. Where the index would meet over a share `dense` of all pairs of
+    sets (it is counted first), shared tokens are counted in arrays instead, block of rows against block (`overlaps`).
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
@@ -80,6 +84,11 @@ def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
     frequency = exploded.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "token")
     prefix = exploded.join(frequency, "token").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("sid", "n", "token")
+    prefix = written(prefix, "jaccard-prefix")
+    listed = prefix.groupBy("token").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    if listed > dense * sets.count() ** 2 / 2:
+        discard(prefix)
+        return overlaps(df.select(key, "tokens"), key, threshold, block)
     a, b = prefix.alias("a"), prefix.alias("b")
     met = (
         a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)))
@@ -88,11 +97,78 @@ def jaccard_pairs(df: DataFrame, key: str, threshold: float) -> DataFrame:
     one, two = sets.select(F.col("sid").alias("s1"), F.col("tokens").alias("t1")), sets.select(F.col("sid").alias("s2"), F.col("tokens").alias("t2"))
     near = met.join(one, "s1").join(two, "s2").withColumn("jaccard", text.jaccard(F.col("t1"), F.col("t2"))).filter(F.col("jaccard") >= threshold).select("s1", "s2", "jaccard")
     x, y = rows.select(F.col("sid").alias("s1"), F.col(key).alias("x")), rows.select(F.col("sid").alias("s2"), F.col(key).alias("y"))
-    across = near.join(x, "s1").join(y, "s2").select("jaccard", "x", "y")
+    across = near.join(x, "s1").join(y, "s2").filter(F.col("x") != F.col("y")).select("jaccard", "x", "y")
     within = x.join(y, F.col("s1") == F.col("s2")).filter(F.col("x") < F.col("y")).select(F.lit(1.0).alias("jaccard"), "x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
+def overlaps(df: DataFrame, key: str, threshold: float, block: int) -> DataFrame:
+    """a, b, jaccard as jaccard_pairs gives them, by counting the tokens that all pairs of rows share.
+
+    Rows (key, tokens) are dealt to blocks of about `block`; each two blocks meet in one group, where the tokens of one
+    block are an inverted index of row numbers and a row of the other counts how often each number is listed by its own
+    tokens. A group holds two blocks and one row's counts, and hands its pairs on in batches.
+    """
+    rows = written(df.select(F.col(key).alias("x"), F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")).alias("tokens")).filter("x is not null").withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    exploded = rows.select("row", F.explode("tokens").alias("token"))
+    numbers = written(exploded.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "jaccard-tokens")
+    coded = exploded.join(numbers, "token").groupBy("row").agg(F.collect_list("number").alias("numbers"))
+    parts = max(1, -(-rows.count() // block))
+    own = rows.select("x", "row").join(coded, "row", "left").select("x", F.coalesce("numbers", F.array().cast("array<long>")).alias("numbers"), F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("own"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = met.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "x", "numbers")
+    of = dict(df.dtypes)[key]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        keys, lists = t["x"].combine_chunks(), t["numbers"].combine_chunks()
+        inside, second = t["i"][0].as_py() == t["j"][0].as_py(), t["second"].to_numpy()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        _, tokens = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        first = np.arange(len(t)) if inside else np.flatnonzero(~second)
+        facing = first if inside else np.flatnonzero(second)
+        if not len(first) or not len(facing):
+            return
+        place = np.full(len(t), -1)
+        place[facing] = np.arange(len(facing))
+        faced = np.repeat(place, sizes)
+        listed, faced = tokens[faced >= 0], faced[faced >= 0]
+        postings = faced[np.argsort(listed, kind="stable")]
+        stops = np.cumsum(np.bincount(listed, minlength=len(tokens) and int(tokens.max()) + 1))
+        starts = np.concatenate([[0], stops[:-1]]).tolist()
+        stops, against = stops.tolist(), sizes[facing]
+        least = against * (threshold / (1 + threshold)) - 1e-6
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def batch() -> pa.RecordBatch:
+            p, q, near = (np.concatenate(c) for c in zip(*found, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(p)), keys.take(pa.array(q)), pa.array(near)], names=["x", "y", "jaccard"])
+
+        waiting = 0
+        for p in first.tolist():
+            n, its = int(sizes[p]), tokens[ends[p] - sizes[p] : ends[p]].tolist()
+            shared = np.bincount(np.concatenate([postings[starts[k] : stops[k]] for k in its]), minlength=len(facing)) if n else np.zeros(len(facing), np.int64)
+            if inside:
+                shared[: place[p] + 1] = -1  # each pair once
+            q = np.flatnonzero(shared >= least + n * (threshold / (1 + threshold)))
+            both, union = shared[q], n + against[q] - shared[q]
+            near = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+            near, q = near[near >= threshold], q[near >= threshold]
+            if len(q):
+                found.append((np.full(len(q), p), facing[q], near))
+                waiting += len(q)
+            if waiting >= 500_000:
+                yield batch()
+                waiting = 0
+        if found:
+            yield batch()
+
+    pairs = met.groupBy("i", "j").applyInArrow(count, f"x {of}, y {of}, jaccard double").filter("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
 def stride_pick(df: DataFrame, key: str, num_queries: int) -> DataFrame:
     """Rows in order of token count (most first), every step-th, at most num_queries.
 

@@ -44,6 +44,27 @@ def test_jaccard_pairs_equal_brute_force(spark, sets, threshold):
     assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(sets[i], sets[j]) >= threshold}
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.sets(st.sampled_from("abcdefgh"), max_size=6), min_size=1, max_size=30), st.sampled_from([0.1, 0.5, 1.0]))
+def test_jaccard_pairs_either_way(spark, sets, threshold):
+    """By the index and by counting in small blocks, with rows that repeat and share an id."""
+    rows = [(i // 2 if i % 5 == 0 else i + 100, sorted(s)) for i, s in enumerate(sets)] + [(None, ["a"])]
+    near = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
+    expected = sorted((min(i, j), max(i, j), near(set(s), set(t))) for k, (i, s) in enumerate(rows) for j, t in rows[:k] if None not in (i, j) and i != j and near(set(s), set(t)) >= threshold)
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").filter("id is not null")
+    for dense in (0, 1e9):
+        assert sorted(map(tuple, similarity.jaccard_pairs(df, "id", threshold, dense, block=7).collect())) == expected
+
+
+def test_low_thresholds_are_counted_in_blocks(spark):
+    """Where prefixes prune little, no pair of rows is joined; where they do, the index is used."""
+    rng = np.random.RandomState(1)
+    rows = [(i, sorted({f"t{x}" for x in rng.zipf(1.3, 40) % 500})) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    plan = lambda t: similarity.jaccard_pairs(df, "id", t)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan(0.1) and "FlatMapGroupsInArrow" not in plan(1.0)
+
+
 def test_candidates_and_ranks(spark):
     s = similarity.with_signatures(spark.createDataFrame(T1, "id long, tokens array<string>"))
     got = similarity.ranked(s, s.filter("id = 4"), "id", 10, keep_self=False).collect()
